@@ -296,15 +296,24 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_tokens, ids, decoded)`` of every row; ids is binary u32, decoded the decoded text.
+def encode_texts(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_array: bool = False
+) -> DataFrame:
+    """``(id_col, *carry, n_tokens, ids, decoded)`` of every row; decoded is the decoded text.
+
+    ids are binary (little-endian u32), or an array of int with ``as_array``.
 
     Null texts are empty; empty texts have no ids and decode to nothing.  Repeated
     rows give repeated results, an empty table an empty one; other columns are
     ignored.
     """
 
+    rows = docs.select(F.col(id_col), *carry, F.col(text_col).cast("string").alias("__text"))
+    kept = rows.columns[:-1]
+    last = len(kept)
+
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         bpe = load(path)
@@ -313,21 +322,21 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             while at < b.num_rows:  # parts of bounded length, whatever the batch holds
                 texts, size, begin = [], 0, at
                 while at < b.num_rows and (size < PART_CHARS or not texts):
-                    texts.append(b.column(1)[at].as_py() or "")
+                    texts.append(b.column(last)[at].as_py() or "")
                     size, at = size + len(texts[-1]), at + 1
                 got = bpe.encode_many(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(begin, at - begin), pa.array([len(g[0]) // 4 for g in got], pa.int64()),
-                        pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary()).cast(pa.string()),
-                    ],
-                    names=["id", "n_tokens", "ids", "decoded"],
-                )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
-    return out.withColumnRenamed("id", id_col)
+                counts = [len(g[0]) // 4 for g in got]
+                if as_array:
+                    flat = np.frombuffer(b"".join(g[0] for g in got), "<i4")
+                    ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat))
+                else:
+                    ids = pa.array([g[0] for g in got], pa.binary())
+                decoded = pa.array([g[1] for g in got], pa.binary()).cast(pa.string())
+                carried = [c.slice(begin, at - begin) for c in b.columns[:last]]
+                yield pa.RecordBatch.from_arrays([*carried, pa.array(counts, pa.int64()), ids, decoded], names=[*kept, "n_tokens", "ids", "decoded"])
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.mapInArrow(run, f"{kinds}n_tokens long, ids {'array<int>' if as_array else 'binary'}, decoded string")
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

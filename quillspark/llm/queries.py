@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_archive
+from . import bpe, chat, decision_list, decontaminate, gam, kd_shards, link_rank, secrets, simhash, token_archive
 from .store import fresh_path
 
 
@@ -56,11 +56,143 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, within a fifth of the item's words as edits."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of a decision list learned from labels.quality."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rules = decision_list.learn_rules(decision_list.labelled_statistics(docs, labels))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    judged = decision_list.judge(docs.select("doc_id", "text"), rules)
+    return judged.select("doc_id", *[F.col("stats")[c].alias(c) for c in counts], "kept", "rule")
+
+
+#: The rules that the query's contract names.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op4_link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    judged = link_rank.judge_pages(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what is read back from the strings."""
+    said = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(
+        f"select -1L conv_id, 0L turn, 'user' role, {said} text union all select -1L, 1L, 'assistant', {said}"
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    rows = chat.format_conversations(turns.withColumn("parts", chat.text_part(F.coalesce("text", F.lit("")))))
+    back = rows.select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("lost"))
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(written.cast("binary"), 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2(F.col("lost").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards of nearly equal bytes, read back from the shards."""
+    path = fresh_path(spark, "shards")
+    kd_shards.write_shards(_table(spark, sf_dir, "documents"), path, shards=40)
+    return kd_shards.read_shards(spark, path).select(
+        "doc_id",
+        kd_shards.text_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit(kd_shards.LAW).alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: spans of the fixed patterns, and those that the Markov models add."""
+    odds = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), odds)
+    of = {k: F.filter("secrets", lambda s, k=k: s["kind"] == k) for k in ("assign", "access", "hex")}
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        *[F.size(v).cast("long").alias(f"n_{k}") for k, v in of.items()],
+        F.sha2(secrets.digest_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.digest_text(F.col("secrets")).alias("spans"),
+    )
+
+
+def _remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the labels is held out of training."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = gam.train(docs, labels, usable=_remainder() != 2)
+    return gam.score_texts(docs, model).select(
+        "doc_id",
+        F.coalesce(_remainder() == 2, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_link_rank": op4_link_rank,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
+    "op7_chat": op7_chat,
+    "op8_kd_shards": op8_kd_shards,
+    "op9_secrets": op9_secrets,
+    "op10_quality_gam": op10_quality_gam,
+    "pipeline": pipeline,
 }
 
+_CONTROL = r"[<\[]\\*(/?s>|/?INST\]|image>|audio>|document>)"
+
 #: DuckDB statements; queries without one are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat": f"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+            union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized as (
+            select *, length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) + 17 as chars
+            from turns
+        ), met as (
+            select conv_id, count(*) as n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
+                coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as lost,
+                sum(chars) + 3 as chars
+            from sized group by conv_id
+        )
+        select conv_id, cast(n_turns as bigint) as n_turns, sha256(said) as turns_sha256,
+            cast(length(lost) as bigint) as loss_chars, sha256(lost) as loss_sha256, cast(chars as bigint) as formatted_chars
+        from met
+    """,
+}
