@@ -1,17 +1,18 @@
 """Shards by k-d tree partitioning of document metadata.
 
-A node that must fill several shards is split along its widest dimension at the
-weighted median (in general, at the share of bytes that its left shards are to
-get).  Splits come from distributed histograms: for all nodes of a level at
-once, each pass sums bytes over equal steps of the interval that holds the
-split and then narrows the interval, until what a step holds is a negligible
-share of a shard.  Ties of a dimension are parted by a hash of the id, so a
-value that a third of all rows share splits like any other.
+A node that must fill several shards is split along its widest dimension (its
+extent as a share of the whole table's) at the weighted median, in general at
+the share of bytes that its left shards are to get.  Splits come from
+distributed histograms: for all nodes of a level at once, each pass sums bytes
+over equal steps of the interval that holds the split and then narrows the
+interval, until what a step holds is a negligible share of a shard.  Ties of a
+dimension are parted by a hash of the id, so a value that a third of all rows
+share splits like any other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ LAW = "bytes"
 #: What every document takes besides its text.
 OVERHEAD = 16
 DIMENSIONS = ("d_length", "d_lang", "d_source")
-#: A histogram pass has 2**STEP_BITS steps for each node; the low TIE_BITS bits of a key part equal values.
-STEP_BITS, TIE_BITS = 10, 31
+#: A histogram pass has 2**STEP_BITS steps for each node; a key is VALUE_BITS of value and TIE_BITS to part equal ones.
+STEP_BITS, VALUE_BITS, TIE_BITS = 12, 16, 24
 #: A split is settled when the interval around it holds at most this share of one shard's bytes.
 TOLERANCE = 0.0005
 
@@ -37,6 +38,7 @@ class Node:
     cut: int = 0
     left: Node | None = None
     right: Node | None = None
+    box: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     def column(self) -> Column:
         """The shard of a row as nested conditions."""
@@ -50,27 +52,27 @@ def text_size(text: Column) -> Column:
 
 
 def _with_keys(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """``(id, text, size, tie, d_length, d_lang, d_source)``: each dimension a 62-bit key, value first and tie last.
+    """``(id, text, size, tie, d_length, d_lang, d_source)``: each dimension a key, value first and tie last.
 
     Length grows with the logarithm of the size; lang and source are hashed, null
     being a value of its own.
     """
-    high = 1 << TIE_BITS
+    ties, values = 1 << TIE_BITS, 1 << VALUE_BITS
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")
     )
     sized = rows.withColumn("size", text_size(F.col("text")))
-    tied = sized.withColumn("tie", F.pmod(F.xxhash64("id", "size"), F.lit(high)))
+    tied = sized.withColumn("tie", F.pmod(F.xxhash64("id", "size"), F.lit(ties)))
 
     def key(value: Column) -> Column:
-        return (value.cast("long") * high + F.col("tie")).cast("long")
+        return (value.cast("long") * ties + F.col("tie")).cast("long")
 
-    log_size = F.least(F.log2("size") * float(1 << 25), F.lit(float(high - 1)))
+    log_size = F.least(F.log2("size") * (values / 48), F.lit(values - 1.0))
     return tied.select(
         "id", "text", "size", "tie",
         key(log_size).alias("d_length"),
-        key(F.pmod(F.xxhash64("lang"), F.lit(high))).alias("d_lang"),
-        key(F.pmod(F.xxhash64("source"), F.lit(high))).alias("d_source"),
+        key(F.pmod(F.xxhash64("lang"), F.lit(values))).alias("d_lang"),
+        key(F.pmod(F.xxhash64("source"), F.lit(values))).alias("d_source"),
     )
 
 
@@ -92,78 +94,66 @@ def build_tree(meta: DataFrame, shards: int, target_bytes: int | None = None) ->
     Only sums for each node and histogram step reach the driver: at most
     2**STEP_BITS for each of fewer than ``shards`` nodes in one pass.
     """
-    total = meta.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    extent = meta.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    total = extent["total"]
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
-    root = Node(0, shards, total)
-    per_shard = max(1.0, total / max(1, shards))
+    box = {d: (extent[f"lo_{d}"] or 0, (extent[f"hi_{d}"] or 0) + 1) for d in DIMENSIONS}
+    whole = {d: hi - lo for d, (lo, hi) in box.items()}
+    root = Node(0, shards, total, box=box)
+    settled = TOLERANCE * total / max(1, shards)
     level = [root] if shards > 1 else []
     while level:
-        node = _node_of(level, root)
-        here = meta.withColumn("node", node).where("node is not null")
-        spread = here.groupBy("node").agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))])
-        bounds: dict[int, list[int]] = {}
-        for r in spread.collect():
-            wide = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"], d))
-            n = level[r["node"]]
-            n.dim = wide
-            bounds[r["node"]] = [r[f"lo_{wide}"], r[f"hi_{wide}"] + 1, 0]
+        here = meta.withColumn("node", _node_of(level, root))
+        open_: dict[int, tuple[int, int, int]] = {}
         for k, n in enumerate(level):
-            if k not in bounds:  # no rows: any cut will do
-                n.dim, n.cut = DIMENSIONS[0], 0
-        open_ = dict(bounds)
+            n.dim = max(DIMENSIONS, key=lambda d: ((n.box[d][1] - n.box[d][0]) / whole[d], d))
+            open_[k] = (*n.box[n.dim], 0)
+        below: dict[int, int] = {}
         while open_:
-            value, low, high, step = (F.lit(None).cast("long") for _ in range(4))
-            for k, (lo, hi, _) in open_.items():
-                is_k = F.col("node") == k
-                value = F.when(is_k, F.col(level[k].dim)).otherwise(value)
-                low, high = F.when(is_k, F.lit(lo)).otherwise(low), F.when(is_k, F.lit(hi)).otherwise(high)
-                step = F.when(is_k, F.lit(max(1, -(-(hi - lo) >> STEP_BITS)))).otherwise(step)
-            narrowed = here.select("node", "size", value.alias("v"), low.alias("lo"), high.alias("hi"), step.alias("step"))
-            whole = F.expr("(v - lo) div step")
-            hist = (
-                narrowed.where("v >= lo and v < hi")
-                .groupBy("node", whole.alias("bin"))
-                .agg(F.sum("size").alias("size"))
-                .collect()
+            # a row for each open node, of which there are fewer than shards
+            asked = meta.sparkSession.createDataFrame(
+                [(k, DIMENSIONS.index(level[k].dim), lo, hi, _step(lo, hi)) for k, (lo, hi, _) in open_.items()], "node int, dim int, lo long, hi long, step long"
             )
-            for k in list(open_):
-                lo, hi, before = open_[k]
-                n = level[k]
-                wide = max(1, -(-(hi - lo) >> STEP_BITS))
+            placed = here.join(F.broadcast(asked), "node").withColumn("v", F.get(F.array(*DIMENSIONS), F.col("dim")))
+            sums = placed.where("v >= lo and v < hi").groupBy("node", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("size").alias("size"))
+            found: dict[int, list[tuple[int, int]]] = {k: [] for k in open_}
+            for r in sums.collect():
+                found[r["node"]].append((r["bin"], r["size"]))
+            for k, (lo, hi, before) in list(open_.items()):
+                n, wide = level[k], _step(lo, hi)
                 goal = n.weight * (n.shards // 2) / n.shards
-                steps = sorted((r["bin"], r["size"]) for r in hist if r["node"] == k)
-                at, chosen = before, None
-                for b, w in steps:
+                at, inside = before, None
+                for b, w in sorted(found[k]):
                     if at + w >= goal:
-                        chosen = (b, w)
+                        inside = (b, w)
                         break
                     at += w
-                if chosen is None:
-                    n.cut = hi
+                if inside is None:  # nothing here reaches the goal
+                    n.cut, below[k] = hi, at
                     del open_[k]
                     continue
-                b, w = chosen
+                b, w = inside
                 a, z = lo + b * wide, min(hi, lo + (b + 1) * wide)
-                if wide == 1 or w <= TOLERANCE * per_shard:
-                    n.cut = a if goal - at < at + w - goal else z
-                    del open_[k]
-                else:
-                    open_[k] = [a, z, at]
+                if wide > 1 and w > settled:
+                    open_[k] = (a, z, at)
+                    continue
+                n.cut, below[k] = (a, at) if goal - at < at + w - goal else (z, at + w)
+                del open_[k]
         following = []
-        for n in level:
-            half = n.shards // 2
-            n.left, n.right = Node(n.first, half), Node(n.first + half, n.shards - half)
+        for k, n in enumerate(level):
+            half, (lo, hi) = n.shards // 2, n.box[n.dim]
+            n.left = Node(n.first, half, below[k], box=n.box | {n.dim: (lo, n.cut)})
+            n.right = Node(n.first + half, n.shards - half, n.weight - below[k], box=n.box | {n.dim: (n.cut, hi)})
             following += [n.left, n.right]
-        asked = [n for n in following if n.shards > 1]
-        if asked:
-            sums = meta.withColumn("node", _node_of(asked, root)).where("node is not null").groupBy("node").agg(F.sum("size").alias("w"))
-            for r in sums.collect():
-                asked[r["node"]].weight = r["w"]
-        level = asked
+        level = [n for n in following if n.shards > 1]
     return root
 
 
+def _step(lo: int, hi: int) -> int:
+    return max(1, -(-(hi - lo) >> STEP_BITS))
+
+
 def write_shards(
     docs: DataFrame, path: str, shards: int = 40, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", source_col: str = "source",
