@@ -125,11 +125,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: spans of the fixed patterns, and those that the Markov models add."""
     odds = secrets.train(secrets.labelled_samples(spark))
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), odds)
-    of = {k: F.filter("secrets", lambda s, k=k: s["kind"] == k) for k in ("assign", "access", "hex")}
+
+    def of(kind: str) -> Column:
+        return F.filter("secrets", lambda s: s["kind"] == kind)
+
     base = F.filter("secrets", lambda s: s["kind"] != "markov")
     return found.select(
         "doc_id",
-        *[F.size(v).cast("long").alias(f"n_{k}") for k, v in of.items()],
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(secrets.digest_text(base).cast("binary"), 256).alias("base_sha256"),
         secrets.digest_text(F.col("secrets")).alias("spans"),
     )
