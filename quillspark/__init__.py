@@ -1,0 +1 @@
+"""Text-correction analytics on Spark."""
