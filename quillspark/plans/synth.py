@@ -70,6 +70,9 @@ class Dialect:
         return f"translate({x}, '{_UPPER}', '{_LOWER}')"
 
 
+SPARK, DUCK = Dialect(False), Dialect(True)
+
+
 def tables(d: Dialect) -> str:
     """The WITH list that makes gec, refs, outputs, and equal-length hyp_edit, ref_edit and cand."""
     a = d.array
@@ -150,13 +153,36 @@ def duck_tables() -> str:
     return _with_refs(DUCK, tables(DUCK))
 
 
-SPARK, DUCK = Dialect(False), Dialect(True)
+
+
+
+_STAGES = "inline(array(" + ", ".join(f"named_struct('stage', {k}, 'hyp', t{k}, 'eq', e{k})" for k in range(4)) + "))"
+_REFS = "inline(filter(array(" + ", ".join(f"named_struct('ref_id', {k}, 'ref', r{k}, 'eq', q{k})" for k in range(3)) + "), z -> row_id % 3 >= z.ref_id))"
+
+
+def _edited(rows: str, key: str) -> str:
+    kind = f"case when {SPARK.lower('corr')} = {SPARK.lower('was')} then 'R' else 'W' end"
+    return (
+        f"select row_id, ds, {key}, i, corr, {kind} as cat from (select row_id, ds, {key}, i, corr, get(esrc, i) as was "
+        f"from (select row_id, ds, esrc, {rows} from gec) lateral view posexplode(eq) p as i, corr) where corr <> was"
+    )
+
+
+#: The same tables as in ``tables``, each from one pass over the documents, without joins.
+_VIEWS = {
+    "gec": "select * from gec",
+    "outputs": f"select row_id, ds, {_STAGES} from gec",
+    "refs": f"select row_id, ds, {_REFS} from gec",
+    "cand": f"select row_id, ds, stage, ref_id from (select row_id, ds, r0, r1, r2, q0, q1, q2, {_STAGES} from gec) lateral view {_REFS} r as ref_id, ref, eq2",
+    "hyp_edit": _edited(_STAGES, "stage"),
+    "ref_edit": _edited(_REFS, "ref_id"),
+}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables as a DataFrame over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return spark.sql(f"with {spark_tables()} select * from {name}".replace("from documents", "from {docs}").replace("{i}", "{{i}}"), docs=docs)
+    return spark.sql(f"with {spark_tables()} {_VIEWS[name]}".replace("from documents", "from {docs}"), docs=docs)
 
 
 def duck(query: str) -> str:

@@ -31,17 +31,20 @@ def sources(blocks: DataFrame) -> DataFrame:
     return blocks.select("file", "block", tokens(F.substring(line, 2, F.length(line))).alias("source"))
 
 
+#: Fields of an A line.  Only the correction may hold bars, so it takes all that the other fields leave.
+_EDIT = r"^A (-?\d+) (-?\d+)\|\|\|(.*?)\|\|\|(.*)\|\|\|([^|]*)\|\|\|([^|]*)\|\|\|(-?\d+)$"
+
+
 def edits(blocks: DataFrame) -> DataFrame:
     """One row per A line; a noop keeps (-1, -1).  Lines with other than six fields fail."""
     rows = blocks.select("file", "block", F.posexplode("lines").alias("pos", "line")).where("line like 'A %'")
-    parts = F.split(F.substring("line", 3, 1 << 30), r"\|\|\|")
-    checked = F.when(F.size(parts) == 6, parts).otherwise(F.raise_error(F.concat(F.lit("not an M2 edit: "), "line")).cast("array<string>"))
-    split = rows.select("file", "block", "pos", checked.alias("p")).withColumn("span", F.split(F.col("p")[0], " "))
+    checked = F.when(F.col("line").rlike(_EDIT), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not an M2 edit: "), "line")).cast("string"))
+    field = lambda k: F.regexp_extract("line", _EDIT, k)
     none = F.array().cast("array<string>")
-    return split.select(
-        "file", "block", F.col("p")[5].cast("int").alias("annotator"), "pos", F.col("span")[0].cast("int").alias("s0"), F.col("span")[1].cast("int").alias("s1"),
-        F.col("p")[1].alias("kind"), F.when(F.col("p")[2] == "-NONE-", none).otherwise(F.filter(F.split(F.col("p")[2], " "), lambda t: t != "")).alias("correction"),
-        F.col("p")[3].alias("required"), F.col("p")[4].alias("comment"),
+    return rows.withColumn("line", checked).select(
+        "file", "block", field(7).cast("int").alias("annotator"), "pos", field(1).cast("int").alias("s0"), field(2).cast("int").alias("s1"),
+        field(3).alias("kind"), F.when(field(4) == "-NONE-", none).otherwise(F.filter(F.split(field(4), " "), lambda t: t != "")).alias("correction"),
+        field(5).alias("required"), field(6).alias("comment"),
     )
 
 
