@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,7 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to a token archive and read back from it."""
     path = fresh_path(spark, "archive")
     token_archive.write_archive(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
-
-    def digest(batches: Iterator) -> Iterator:
-        import zlib
-
-        import pyarrow as pa
-
-        for b in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return token_archive.read_archive(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_archive.read_archive(spark, path, {"ids_crc32": ("long", zlib.crc32)})
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

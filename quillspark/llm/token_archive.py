@@ -20,17 +20,22 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import not_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"QTK1"
 #: Dictionary training reads at most this many texts, none longer than this many characters.
-DICT_SAMPLE_ROWS, DICT_SAMPLE_CHARS, DICT_BYTES = 1000, 16_384, 65_536
+DICT_SAMPLE_ROWS, DICT_SAMPLE_CHARS, DICT_BYTES = 600, 8_192, 65_536
 BLOCK_BYTES = 1 << 20
 #: Texts are encoded in parts of about so many characters.
-PART_CHARS = 4_000_000
+PART_CHARS = 500_000
+#: Unseen chunks are encoded in texts of so many.
+LEARN_TOGETHER = 200
 #: Chunks whose ids a worker remembers; beyond it starts anew.
 CACHE_ENTRIES = 1_000_000
 
@@ -57,11 +62,9 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.dtype = np.dtype(f"<u{width}")
-        size = self.tok.get_vocab_size()
-        self.spaced = np.zeros(size + 1, bool)
+        self.spaced = np.zeros(self.tok.get_vocab_size() + 1, bool)
         for token, i in self.tok.get_vocab().items():
             self.spaced[i] = token.startswith("Ġ")
-        self.wide = re.compile(r"\s\s")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, bytes] = {}
 
@@ -71,46 +74,55 @@ class ChunkEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of a space and each chunk; b"" for what can't stand between two cuts."""
         import numpy as np
 
         if len(self.known) + len(chunks) > CACHE_ENTRIES:
-            self.known.clear()
-        together = "a " + " ".join(chunks)
-        if not self.wide.search(together) and not together[-1].isspace():
-            ids = np.array(self.tok.encode_batch_fast([together], add_special_tokens=False)[0].ids, self.dtype)
+            self.known.clear()  # what was found before stays in the lists that hold it
+        width = self.dtype.itemsize
+        good = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
+        if len(good) < len(chunks):
+            self.known.update((c, b"") for c in set(chunks).difference(good))
+        for k in range(0, len(good), LEARN_TOGETHER):
+            some = good[k : k + LEARN_TOGETHER]
+            together = self.tok.encode_batch_fast(["a " + " ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(together.ids, self.dtype)
             at = np.flatnonzero(self.spaced[ids])
-            if len(at) == len(chunks):
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                at = (at * width).tolist()
-                self.known.update(zip(chunks, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
-                return
-        for c in chunks:
-            self.known[c] = self._ids(" " + c)
+            if len(at) == len(some):
+                raw, at = ids.tobytes(), (at * width).tolist()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+            else:
+                self.known.update((c, self._ids(" " + c)) for c in some)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each whole text its ids, little-endian."""
-        parted = [self.cut.split(t) if self.wide.search(t) else t.split(" ") for t in texts]
-        heads = []
-        for k, parts in enumerate(parted):
-            if len(parts) < 2 or not parts[0] or not parts[-1]:
-                heads.append(self._ids(texts[k]))
-                parted[k] = []
+        met, unknown = [], set()
+        for text in texts:
+            parts = text.split(" ")
+            found = list(map(self.known.get, parts))
+            open_ = list(compress(range(len(parts)), map(not_, found)))  # unseen, or known not to stand between cuts
+            unknown.update([parts[i] for i in open_])
+            met.append((parts, found, open_))
+        if unknown := unknown.difference(self.known):
+            self._learn(list(unknown))
+        known, out = self.known, []
+        for text, (parts, found, open_) in zip(texts, met):
+            for i in open_:
+                found[i] = known.get(parts[i])
+            if len(parts) > 1 and all([found[i] for i in open_]):
+                found[0] = self._ids(parts[0])
+                out.append(b"".join(found))
             else:
-                heads.append(self._ids(parts[0]))
-                del parts[0]
-        get = self.known.get
-        need = set().union(*parted).difference(self.known)
-        if need:
-            self._learn(list(need))
-        out = []
-        for head, parts in zip(heads, parted):
-            found = list(map(get, parts))
-            if None in found:  # the memory was started anew
-                self._learn(list(set(parts)))
-                found = list(map(get, parts))
-            out.append(head + b"".join(found))
+                out.append(self._apart(text))
         return out
 
+    def _apart(self, text: str) -> bytes:
+        """A text in which white space meets white space, cut only where a space stands alone."""
+        parts = self.cut.split(text)
+        self._learn([p for p in set(parts[1:]) if p not in self.known])
+        found = list(map(self.known.get, parts[1:]))
+        return self._ids(parts[0]) + b"".join(found) if all(found) else self._ids(text)
+
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
@@ -281,36 +293,41 @@ def _opened(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
     return bytes(head["dict_bytes"]), spark.read.parquet(f"{path}/blocks")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of every document; ids is binary, little-endian u32."""
+def read_archive(spark: SparkSession, path: str, derive: dict[str, tuple[str, Callable[[bytes], object]]] | None = None) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` of every document; ids is binary, little-endian u32.
+
+    With ``derive`` ({column: (type, function of the ids)}) those columns stand in
+    the place of ids, which then never leave the task that reads them.
+    """
     trained, blocks = _opened(spark, path)
     starts = {r["shard"]: r["start"] for r in spark.read.parquet(f"{path}/shards").collect()}
+    derive = {"ids": ("binary", bytes)} if derive is None else derive
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
         for b in batches:
             for shard, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 got = list(unpack_block(payload.as_py(), trained))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([g[0] for g in got], pa.int64()), pa.array([starts[shard] + g[1] for g in got], pa.int64()),
-                        pa.array([len(g[2]) // 4 for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                columns = [
+                    pa.array([g[0] for g in got], pa.int64()),
+                    pa.array([starts[shard] + g[1] for g in got], pa.int64()),
+                    pa.array([len(g[2]) // 4 for g in got], pa.int64()),
+                    *(pa.array([f(g[2]) for g in got], kinds[kind]) for kind, f in derive.values()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", *derive])
 
-    return blocks.select("shard", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    more = "".join(f", {name} {kind}" for name, (kind, _) in derive.items())
+    return blocks.select("shard", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long{more}")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """The ids of one document (a list for each row that had this id), by the offset index."""
-    import array
-
     trained, blocks = _opened(spark, path)
     found = blocks.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("shard", "block")
     return [
-        list(array.array("I", ids))
+        list(array("I", ids))
         for row in found.select("payload").toLocalIterator()
         for _, _, ids in unpack_block(bytes(row["payload"]), trained, only=doc_id)
     ]
