@@ -9,17 +9,18 @@ logarithmic cost.  The word is done when the root holds no rank.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts between white space whose ids a worker remembers; beyond it starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Words of up to so many bytes are merged in arrays of at most so many rows; longer ones singly.
 BATCH_WORD_BYTES, BATCH_ROWS = 48, 8192
 #: Texts are encoded in parts of about so many characters.
-PART_CHARS = 4_000_000
+PART_CHARS = 2_000_000
 _POSITION_BITS = 24
 _NONE = 1 << 62
 
@@ -171,7 +172,8 @@ class WordBpe:
             raise ValueError("this tokenizer's steps are not known")
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        named = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = [named.get(i, "") for i in range(max(named) + 1)]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
@@ -184,7 +186,7 @@ class WordBpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
         self.trees = BatchPairTrees(self.pairs)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def word(self, word: str) -> list[int]:
         """Ids of one piece that the split pattern made."""
@@ -221,22 +223,16 @@ class WordBpe:
                     at = end
         return out
 
-    def _joined(self, ids: list[int]) -> tuple[bytes, bytes]:
-        import array
-
-        return array.array("I", ids).tobytes(), " ".join(map(self.tokens.__getitem__, ids)).encode()
-
     def _learn(self, units: set[str]) -> None:
-        """Remember ids and decoded text of what stands between white space."""
+        """Remember the ids of what stands between white space."""
         if len(self.known) + len(units) > CACHE_ENTRIES:
             self.known.clear()
-        units = units.difference(self.known)
-        parted = [(u, self.words.findall(u)) for u in units if u not in self.special]
+        parted = [(u, self.words.findall(u)) for u in units.difference(self.known) if u not in self.special]
         ids = self.word_many(list({w for _, ws in parted for w in ws}))
         for u, ws in parted:
-            self.known[u] = self._joined(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]])
+            self.known[u] = array("I", ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]).tobytes()
         for u, i in self.special.items():
-            self.known[u] = self._joined([i])
+            self.known[u] = array("I", [i]).tobytes()
 
     def _plain(self, text: str) -> list[str]:
         import unicodedata
@@ -273,7 +269,8 @@ class WordBpe:
             if None in found:  # the memory was started anew
                 self._learn(set(units))
                 found = list(map(get, units))
-            out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])))
+            ids = b"".join(found)
+            out.append((ids, self.decode(ids)))
         return out
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
@@ -281,9 +278,7 @@ class WordBpe:
 
     def decode(self, ids: bytes) -> bytes:
         """What the ids (little-endian u32) decode to: their tokens with spaces between."""
-        import array
-
-        return " ".join(self.tokens[i] for i in array.array("I", ids) if i in self.tokens).encode()
+        return " ".join(map(self.tokens.__getitem__, array("I", ids))).encode()
 
 
 _loaded: dict[str, WordBpe] = {}
