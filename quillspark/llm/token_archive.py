@@ -151,9 +151,13 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
     """
     import zstandard
 
+    # a share of the rows that holds a few times as many as are wanted, so what reaches the driver does not grow
+    share = min(1.0, 4 * DICT_SAMPLE_ROWS / max(1, docs.count()))
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = (
         docs.where(F.length(text_col).between(1, DICT_SAMPLE_CHARS))
-        .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"))
+        .select(order.alias("h"), F.col(text_col).alias("t"))
+        .where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
         .orderBy("h", "t")
         .limit(DICT_SAMPLE_ROWS)
         .collect()
