@@ -98,3 +98,51 @@ def corpus_greedy(scored: DataFrame, by: list[str], row: str, order: list[str],
 
     kinds = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in by)
     return scored.groupBy(*by).applyInPandas(fold, f"{kinds}, tp long, fp long, fn long")
+
+
+# ---- the same algebra over arrays: a sentence's edits stay in its row, so nothing is shuffled before pooling ----------
+
+
+def keyed_edits(edits: Column) -> Column:
+    """array<struct<key, label>> of an array of edits: what :func:`logical_edits` makes, within the row."""
+    plain = lambda e: F.struct(_key(e["s0"], e["s1"], e["correction"]).alias("key"), e["kind"].alias("label"))
+    counted = F.filter(edits, lambda e: e["kind"] != "noop")
+
+    def moved(all_: Column) -> Column:
+        name = lambda e: F.regexp_extract(e["comment"], "^LINK=(w[0-9]+);", 1)
+
+        def pair(u: Column) -> Column:
+            m = F.get(F.filter(all_, lambda e: (e["kind"] == "M") & (name(e) == name(u))), F.lit(0))
+            key = F.concat_ws("|", F.lit("W-LD"), u["s0"].cast("string"), u["s1"].cast("string"), m["s0"].cast("string"), F.array_join(m["correction"], UNIT))
+            return F.struct(key.alias("key"), F.lit("WO").alias("label"))
+
+        linked = F.transform(F.filter(all_, lambda e: e["comment"].startswith("LINK=") & (e["kind"] == "U")), pair)
+        return F.concat(F.transform(F.filter(all_, lambda e: ~e["comment"].startswith("LINK=")), plain), linked)
+
+    return F.when(F.exists(counted, lambda e: e["comment"].startswith("LINK=")), moved(counted)).otherwise(F.transform(counted, plain))
+
+
+def outcome_arrays(h: Column, r: Column) -> Column:
+    """struct<tp, fp, fn> of label arrays: a key on both sides counts its reference labels."""
+    labels = lambda of, other, inside: F.transform(
+        F.filter(of, lambda x: F.array_contains(other["key"], x["key"]) if inside else ~F.array_contains(other["key"], x["key"])), lambda x: x["label"]
+    )
+    return F.struct(labels(r, h, True).alias("tp"), labels(h, r, False).alias("fp"), labels(r, h, False).alias("fn"))
+
+
+def candidate_array(h: Column, refs: Column, beta: float = 0.5) -> Column:
+    """One struct<loss, minus_tp, fp, fn, ref_id, tp, f, outcome> for each of refs: array<struct<ref_id, edits>>.
+
+    Both sides' edits are keyed.  Structs order from better to worse, so the
+    least of the array is the selected candidate.
+    """
+
+    def scored(ref: Column) -> Column:
+        def sized(o: Column) -> Column:
+            tp, fp, fn = F.size(o["tp"]), F.size(o["fp"]), F.size(o["fn"])
+            f = f_beta(tp, fp, fn, beta)
+            return F.struct((-f).alias("loss"), (-tp).alias("minus_tp"), fp.alias("fp"), fn.alias("fn"), ref["ref_id"].alias("ref_id"), tp.alias("tp"), f.alias("f"), o.alias("outcome"))
+
+        return F.transform(F.array(outcome_arrays(h, ref["edits"])), sized)[0]
+
+    return F.transform(refs, scored)

@@ -81,13 +81,26 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cand, score.match_edits(cand.select("row_id", "stage", "ref_id"), hyp, ref, ["row_id"], ["stage"], ["ref_id"])
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, ds, stage, candidates): every sentence scored within its own row."""
+    rows = view(spark, sf_dir, "nested").select("row_id", "ds", F.explode("outputs").alias("o"), "refs")
+    keyed = rows.select(
+        "row_id", "ds", "o.stage", score.keyed_edits(F.col("o.edits")).alias("h"),
+        F.transform("refs", lambda r: F.struct(r["ref_id"].alias("ref_id"), score.keyed_edits(r["edits"]).alias("edits"))).alias("refs"),
+    )
+    return keyed.select("row_id", "ds", "stage", score.candidate_array(F.col("h"), F.col("refs")).alias("candidates"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", "ds", "stage", "c.ref_id", *[F.col(f"c.{c}").cast("long").alias(c) for c in ("tp", "fp", "fn")], "c.f", "c.outcome")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand, outcomes = _outcomes(spark, sf_dir)
-    return score.score_candidates(cand, outcomes, ["row_id", "stage", "ref_id"])
+    return _counted(_candidates(spark, sf_dir).select("row_id", "ds", "stage", F.explode("candidates").alias("c")))
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.select_best(_scored(spark, sf_dir), ["row_id", "stage"], ["ref_id"])
+    return _counted(_candidates(spark, sf_dir).select("row_id", "ds", "stage", F.array_min("candidates").alias("c")))
 
 
 @query(_oracle(_MATCH_SQL, "select stage, ref_id, label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from met group by stage, ref_id, label"))
@@ -123,10 +136,11 @@ def f_beta_table(spark, sf_dir):
     select coalesce(ds, 'all') as ds, stage, label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn
     from chosen group by grouping sets ((ds, stage, label), (stage, label))"""))
 def category_grouping_sets(spark, sf_dir):
-    cand, outcomes = _outcomes(spark, sf_dir)
-    best = score.select_best(score.score_candidates(cand, outcomes, ["row_id", "stage", "ref_id"]), ["row_id", "stage"], ["ref_id"])
-    chosen = outcomes.join(best.select("row_id", "ds", "stage", "ref_id"), ["row_id", "stage", "ref_id"])
-    sums = chosen.groupingSets([["ds", "stage", "label"], ["stage", "label"]], "ds", "stage", "label")
+    rows = None
+    for kind in ("tp", "fp", "fn"):
+        one = _best(spark, sf_dir).select("ds", "stage", F.explode(f"outcome.{kind}").alias("label"), *[F.lit(int(k == kind)).alias(k) for k in ("tp", "fp", "fn")])
+        rows = one if rows is None else rows.unionByName(one)
+    sums = rows.groupingSets([["ds", "stage", "label"], ["stage", "label"]], "ds", "stage", "label")
     return sums.agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]).withColumn("ds", F.coalesce("ds", F.lit("all")))
 
 
@@ -140,8 +154,9 @@ def corpus_greedy_f05(spark, sf_dir):
     best as (select * from (select v.*, k, row_number() over (partition by row_id, stage, k order by f desc, tp desc, fp, fn, ref_id) as nr from valued v join ks on ref_id < k) where nr = 1)
     select stage, k, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from best group by stage, k"""))
 def incremental_references(spark, sf_dir):
-    ks = F.explode(F.sequence(F.col("ref_id") + 1, F.lit(3))).alias("k")
-    best = score.select_best(_scored(spark, sf_dir).select("*", ks), ["row_id", "stage", "k"], ["ref_id"])
+    first = lambda k: F.array_min(F.filter("candidates", lambda c: c["ref_id"] < k))
+    ks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), first(k).alias("c")) for k in (1, 2, 3)])).alias("x")
+    best = _candidates(spark, sf_dir).select("stage", ks).select("stage", "x.k", "x.c.*")
     return best.groupBy("stage", "k").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
 
 
@@ -244,24 +259,26 @@ def equivalence_margins(spark, sf_dir):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, out = view(spark, sf_dir, "gec").select("row_id", "ds", "src"), view(spark, sf_dir, "outputs")
-    return rows.join(out.select("row_id", "stage", "hyp"), "row_id").withColumnRenamed("src", "source").withColumnRenamed("hyp", "target")
+    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"t{k}").alias("target")) for k in range(4)])).alias("o")
+    return view(spark, sf_dir, "gec").select("row_id", "ds", F.col("src").alias("source"), stages).select("row_id", "ds", "source", "o.*")
 
 
 @query()
 def kernel_f05_by_stage(spark, sf_dir):
     """The flagship: align, type and link the edits of outputs and references, match them, select the best, pool."""
-    rows = view(spark, sf_dir, "gec").select("row_id", "ds", F.col("src").alias("source"))
-    hyp = rows.join(view(spark, sf_dir, "outputs").select("row_id", "stage", F.col("hyp").alias("target")), "row_id").withColumn("ref_id", F.lit(-1))
-    ref = rows.join(view(spark, sf_dir, "refs").select("row_id", "ref_id", F.col("ref").alias("target")), "row_id").withColumn("stage", F.lit(-1))
-    done = edits.convert_pairs(hyp.unionByName(ref))
-    typed = edits.explode_edits(done, ["row_id", "stage", "ref_id"])
-    logical = score.logical_edits(typed, ["row_id", "stage", "ref_id"])
-    cand = view(spark, sf_dir, "cand")
-    h, r = logical.where("ref_id = -1").drop("ref_id"), logical.where("stage = -1").drop("stage")
-    outcomes = score.match_edits(cand.select("row_id", "stage", "ref_id"), h, r, ["row_id"], ["stage"], ["ref_id"])
-    best = score.select_best(score.score_candidates(cand, outcomes, ["row_id", "stage", "ref_id"]), ["row_id", "stage"], ["ref_id"])
-    return score.pooled(best, ["ds", "stage"])
+    rows = view(spark, sf_dir, "gec")
+    side = lambda kind, k, c: F.struct(F.lit(kind).alias("side"), F.lit(k).alias("k"), F.col(c).alias("target"))
+    hyps, refs = [side("hyp", k, f"t{k}") for k in range(4)], F.filter(F.array(*[side("ref", k, f"r{k}") for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["k"])
+    pairs = rows.select("row_id", "ds", F.col("src").alias("source"), F.explode(F.concat(F.array(*hyps), refs)).alias("p"))
+    done = edits.convert_pairs(pairs.select("row_id", "ds", "source", "p.*"))
+    keyed = done.select("row_id", "ds", "side", "k", score.keyed_edits(F.col("edits")).alias("edits"))
+    # a sentence's few edit lists meet in its row once; matching and selection need no further shuffle
+    met = keyed.groupBy("row_id", "ds").agg(
+        F.collect_list(F.when(F.col("side") == "hyp", F.struct(F.col("k").alias("stage"), "edits"))).alias("hyps"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == "ref", F.struct(F.col("k").alias("ref_id"), "edits")))).alias("refs"),
+    )
+    best = met.select("row_id", "ds", F.explode("hyps").alias("h"), "refs").select("ds", F.col("h.stage").alias("stage"), F.array_min(score.candidate_array(F.col("h.edits"), F.col("refs"))).alias("c"))
+    return score.pooled(best.select("ds", "stage", "c.tp", "c.fp", "c.fn"), ["ds", "stage"])
 
 
 @query()
@@ -346,11 +363,10 @@ def _gleu_sql() -> str:
 
 
 def _gleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trio = view(spark, sf_dir, "cand").join(view(spark, sf_dir, "gec").select("row_id", "src"), "row_id").join(
-        view(spark, sf_dir, "outputs").select("row_id", "stage", "hyp"), ["row_id", "stage"]
-    ).join(view(spark, sf_dir, "refs").select("row_id", "ref_id", "ref"), ["row_id", "ref_id"])
-    value = gleu.sentence_gleu(F.col("src"), F.col("hyp"), F.col("ref"))
-    return trio.select("row_id", "ds", "stage", "ref_id", value.alias("gleu"))
+    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"t{k}").alias("hyp")) for k in range(4)])).alias("o")
+    refs = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), F.col(f"r{k}").alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])).alias("r")
+    trio = view(spark, sf_dir, "gec").select("*", stages).select("row_id", "ds", "src", "o.*", refs).select("row_id", "ds", "src", "stage", "hyp", "r.*")
+    return trio.select("row_id", "ds", "stage", "ref_id", gleu.sentence_gleu(F.col("src"), F.col("hyp"), F.col("ref")).alias("gleu"))
 
 
 @query(_oracle(_gleu_sql(), "select ds, stage, round(100 * avg(round(gleu, 9)), 6) as gleu, count(*) as sentences from top group by ds, stage"))

@@ -179,6 +179,20 @@ _VIEWS = {
 }
 
 
+def _typed(eq: str) -> str:
+    """Positional edits of an equal-length side as an array of the engine's edits."""
+    kind = f"case when {SPARK.lower('x')} = {SPARK.lower('get(esrc, i)')} then 'R' else 'W' end"
+    made = f"named_struct('s0', i, 's1', i + 1, 'kind', {kind}, 'correction', array(x), 'comment', 'NONE')"
+    return f"filter(transform({eq}, (x, i) -> case when x <> get(esrc, i) then {made} end), e -> e is not null)"
+
+
+#: A row for each sentence: its outputs and its references, each with its edits, as arrays.
+_VIEWS["nested"] = (
+    "select row_id, ds, array(" + ", ".join(f"named_struct('stage', {k}, 'edits', {_typed(f'e{k}')})" for k in range(4)) + ") as outputs, "
+    "filter(array(" + ", ".join(f"named_struct('ref_id', {k}, 'edits', {_typed(f'q{k}')})" for k in range(3)) + "), z -> row_id % 3 >= z.ref_id) as refs from gec"
+)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables as a DataFrame over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
