@@ -10,40 +10,51 @@ from ..functions.text import ngrams, once
 ORDERS = 4
 
 
-def _count(arr: Column, g: Column) -> Column:
-    return F.size(F.filter(arr, lambda x: x == g))
+_AGAIN = "\u0001"
 
 
-def _overlap(h: Column, r: Column, s: Column) -> Column:
-    """Matches with the reference, less matches with what the source has and the reference has not."""
+def _numbered(grams: Column) -> Column:
+    """Grams with repeats told apart, so that set operations count with multiplicity; first ones stay as they are."""
 
-    def total(of: Column, value) -> Column:
-        return F.aggregate(F.transform(of, value), F.lit(0), lambda a, x: a + x)
+    def mark(g: Column) -> Column:
+        earlier = lambda x, i: F.size(F.filter(F.slice(g, F.lit(1), i), lambda y: y == x))
+        marked = F.transform(g, lambda x, i: F.transform(F.array(earlier(x, i)), lambda k: F.when(k > 0, F.concat(x, F.lit(_AGAIN), k.cast("string"))).otherwise(x))[0])
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), g).otherwise(marked)
 
-    hit = total(F.array_distinct(h), lambda g: F.least(_count(h, g), _count(r, g)))
-    miss = total(F.array_except(s, r), lambda g: F.least(_count(h, g), _count(s, g)))
-    return F.greatest(hit - miss, F.lit(0))
+    return once(grams, mark)
 
 
-def sentence_gleu(source: Column, hypothesis: Column, reference: Column, joiner: str = " ", orders: int = ORDERS) -> Column:
-    """GLEU of token or character arrays, from 0 to 1; a count of zero is smoothed to one.
+def gram_orders(units: Column, joiner: str = " ", orders: int = ORDERS) -> Column:
+    """struct<n, grams: array<array<string>>>: a sequence's length and its numbered n-grams, for :func:`gleu_of`."""
+    return F.struct(F.size(units).alias("n"), F.array(*[_numbered(ngrams(units, k, joiner)) for k in range(1, orders + 1)]).alias("grams"))
+
+
+def gleu_of(source: Column, hypothesis: Column, reference: Column) -> Column:
+    """GLEU of three :func:`gram_orders`, from 0 to 1; a count of zero is smoothed to one.
 
-    Our reading of the published metric (2015, revised 2016), whose reference
-    kernel is not at hand.
+    Of each order: matches with the reference, less matches with grams that the
+    source has and the reference has not.  Our reading of the published metric
+    (2015, revised 2016), whose reference kernel is not at hand.
     """
 
-    def log_ratio(n: int) -> Column:
-        def of(g: Column) -> Column:
-            met = _overlap(g["h"], g["r"], g["s"])
-            whole = F.greatest(F.size(hypothesis) - (n - 1), F.lit(0))
-            return F.log(F.greatest(met, F.lit(1)).cast("double")) - F.log(F.greatest(whole, F.lit(1)).cast("double"))
+    def log_ratio(g: Column) -> Column:
+        hit = F.size(F.array_intersect(g["h"], g["r"]))
+        kept = F.array_intersect(g["h"], g["s"])
+        miss = F.size(F.filter(kept, lambda x: ~F.array_contains(g["r"], F.substring_index(x, _AGAIN, 1))))
+        met = F.greatest(hit - miss, F.lit(1)).cast("double")
+        return F.log(met) - F.log(F.greatest(F.size(g["h"]), F.lit(1)).cast("double"))
 
-        grams = F.struct(ngrams(hypothesis, n, joiner).alias("h"), ngrams(reference, n, joiner).alias("r"), ngrams(source, n, joiner).alias("s"))
-        return once(grams, of)
+    zipped = F.arrays_zip(hypothesis["grams"].alias("h"), reference["grams"].alias("r"), source["grams"].alias("s"))
+    each = F.transform(zipped, lambda z: log_ratio({"h": z["h"], "r": z["r"], "s": z["s"]}))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(hypothesis["grams"])
+    c, r = F.greatest(hypothesis["n"], F.lit(1)), F.greatest(reference["n"], F.lit(1))
+    return F.exp(total + F.least(F.lit(0.0), 1 - r / c))
 
-    mean = sum((log_ratio(n) for n in range(2, orders + 1)), log_ratio(1)) / orders
-    c, r = F.greatest(F.size(hypothesis), F.lit(1)), F.greatest(F.size(reference), F.lit(1))
-    return F.exp(mean + F.least(F.lit(0.0), 1 - r / c))
+
+def sentence_gleu(source: Column, hypothesis: Column, reference: Column, joiner: str = " ", orders: int = ORDERS) -> Column:
+    """GLEU of token or character arrays."""
+    grams = F.struct(*[gram_orders(c, joiner, orders).alias(n) for c, n in ((source, "s"), (hypothesis, "h"), (reference, "r"))])
+    return once(grams, lambda g: gleu_of(g["s"], g["h"], g["r"]))
 
 
 def select_best(scores: DataFrame, row: list[str], score: str = "gleu", ref_id: str = "ref_id") -> DataFrame:

@@ -82,13 +82,18 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, ds, stage, candidates): every sentence scored within its own row."""
-    rows = view(spark, sf_dir, "nested").select("row_id", "ds", F.explode("outputs").alias("o"), "refs")
-    keyed = rows.select(
-        "row_id", "ds", "o.stage", score.keyed_edits(F.col("o.edits")).alias("h"),
-        F.transform("refs", lambda r: F.struct(r["ref_id"].alias("ref_id"), score.keyed_edits(r["edits"]).alias("edits"))).alias("refs"),
-    )
-    return keyed.select("row_id", "ds", "stage", score.candidate_array(F.col("h"), F.col("refs")).alias("candidates"))
+    """(row_id, ds, stage, candidates): every sentence scored within its own row.
+
+    All is bound and computed before the explode: what an explode passes along is
+    computed anew for each of its rows.
+    """
+    keyed = lambda c, name: F.transform(c, lambda x: F.struct(x[name].alias(name), score.keyed_edits(x["edits"]).alias("edits")))
+
+    def within(v) -> F.Column:
+        return F.transform(v["outputs"], lambda o: F.struct(o["stage"].alias("stage"), score.candidate_array(o["edits"], v["refs"]).alias("candidates")))
+
+    whole = F.struct(keyed(F.col("outputs"), "stage").alias("outputs"), keyed(F.col("refs"), "ref_id").alias("refs"))
+    return view(spark, sf_dir, "nested").select("row_id", "ds", F.explode(tx.once(whole, within)).alias("o")).select("row_id", "ds", "o.*")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -363,10 +368,15 @@ def _gleu_sql() -> str:
 
 
 def _gleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"t{k}").alias("hyp")) for k in range(4)])).alias("o")
-    refs = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), F.col(f"r{k}").alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])).alias("r")
-    trio = view(spark, sf_dir, "gec").select("*", stages).select("row_id", "ds", "src", "o.*", refs).select("row_id", "ds", "src", "stage", "hyp", "r.*")
-    return trio.select("row_id", "ds", "stage", "ref_id", gleu.sentence_gleu(F.col("src"), F.col("hyp"), F.col("ref")).alias("gleu"))
+    outs = F.array(*[F.struct(F.lit(k).alias("stage"), gleu.gram_orders(F.col(f"t{k}")).alias("hyp")) for k in range(4)])
+    refs = F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), gleu.gram_orders(F.col(f"r{k}")).alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])
+
+    def within(v) -> F.Column:
+        value = lambda o, r: F.struct(o["stage"].alias("stage"), r["ref_id"].alias("ref_id"), gleu.gleu_of(v["src"], o["hyp"], r["ref"]).alias("gleu"))
+        return F.flatten(F.transform(v["outs"], lambda o: F.transform(v["refs"], lambda r: value(o, r))))
+
+    whole = F.struct(gleu.gram_orders(F.col("src")).alias("src"), outs.alias("outs"), refs.alias("refs"))
+    return view(spark, sf_dir, "gec").select("row_id", "ds", F.explode(tx.once(whole, within)).alias("g")).select("row_id", "ds", "g.*")
 
 
 @query(_oracle(_gleu_sql(), "select ds, stage, round(100 * avg(round(gleu, 9)), 6) as gleu, count(*) as sentences from top group by ds, stage"))
