@@ -220,12 +220,12 @@ def write_archive(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, level: int = 3,
 ) -> None:
-    """Write ``docs`` to the archive ``path`` in ascending id order (ties by text; null ids first).
+    """Write ``docs`` to the archive ``path`` in ascending id order (ties by a hash of the text; null ids first).
 
     Null texts are empty documents.  Rows that repeat an id each have their own
     frame.  An empty table gives an archive without blocks.  Other columns are
-    ignored.  Rows are dealt by ranges of (id, text), so neither one id nor one
-    text can fill a shard alone unless its rows are equal.
+    ignored.  Rows are dealt by ranges of (id, hash of the text), so neither
+    one id nor one text can fill a shard alone unless its rows are equal.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer_path, end_id)
@@ -275,10 +275,12 @@ def write_archive(
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # range bounds are drawn from a sample of the sort key on the driver, so no text may be part of the key
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
     (
-        rows.repartitionByRange(shards, "id", "text")
-        .sortWithinPartitions("id", "text")
+        rows.repartitionByRange(shards, "id", "tie")
+        .sortWithinPartitions("id", "tie", "text")
+        .select("id", "text")
         .mapInArrow(run, "shard int, block int, first_id long, last_id long, n_docs int, n_tokens long, payload binary")
         .write.option("compression", "uncompressed")
         .parquet(f"{path}/blocks")
