@@ -37,7 +37,7 @@ PART_CHARS = 500_000
 #: Unseen chunks are encoded in texts of so many.
 LEARN_TOGETHER = 200
 #: Chunks whose ids a worker remembers; beyond it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 2_000_000
 
 
 class ChunkEncoder:
