@@ -141,10 +141,12 @@ def f_beta_table(spark, sf_dir):
     select coalesce(ds, 'all') as ds, stage, label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn
     from chosen group by grouping sets ((ds, stage, label), (stage, label))"""))
 def category_grouping_sets(spark, sf_dir):
-    rows = None
-    for kind in ("tp", "fp", "fn"):
-        one = _best(spark, sf_dir).select("ds", "stage", F.explode(f"outcome.{kind}").alias("label"), *[F.lit(int(k == kind)).alias(k) for k in ("tp", "fp", "fn")])
-        rows = one if rows is None else rows.unionByName(one)
+    def labelled(kind: str) -> F.Column:
+        ones = [F.lit(int(k == kind)).alias(k) for k in ("tp", "fp", "fn")]
+        return F.transform(F.col(f"outcome.{kind}"), lambda x: F.struct(x.alias("label"), *ones))
+
+    each = F.explode(F.concat(*[labelled(k) for k in ("tp", "fp", "fn")])).alias("x")
+    rows = _best(spark, sf_dir).select("ds", "stage", each).select("ds", "stage", "x.*")
     sums = rows.groupingSets([["ds", "stage", "label"], ["stage", "label"]], "ds", "stage", "label")
     return sums.agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]).withColumn("ds", F.coalesce("ds", F.lit("all")))
 

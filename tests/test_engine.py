@@ -73,6 +73,20 @@ def test_hand_calculated_score(spark, tmp_path):
     assert (first.tp, first.fp, first.fn) == (0, 1, 1)
 
 
+def test_arrays_score_like_tables(spark, tmp_path):
+    sides = {}
+    for name, body in (("hyp", HYP), ("ref", REF)):
+        (tmp_path / f"{name}.m2").write_text(body)
+        rows = m2.edits(m2.scan(spark, str(tmp_path / f"{name}.m2")))
+        met = rows.groupBy("block").agg(F.collect_list(F.struct("s0", "s1", "kind", "correction", "comment")).alias("e"))
+        sides[name] = met.select("block", score.keyed_edits(F.col("e")).alias(name))
+    both = sides["hyp"].join(sides["ref"], "block")
+    refs = F.array(F.struct(F.lit(0).alias("ref_id"), F.array().cast("array<struct<key: string, label: string>>").alias("edits")), F.struct(F.lit(1).alias("ref_id"), F.col("ref").alias("edits")))
+    best = both.select(F.array_min(score.candidate_array(F.col("hyp"), refs)).alias("c")).select("c.*").collect()
+    assert sum(b.tp for b in best) == 2 and sum(b.fp for b in best) == 1 and sum(b.fn for b in best) == 1 and {b.ref_id for b in best} == {1}
+    assert sorted(x for b in best for x in b.outcome.tp) == ["R", "WO"]
+
+
 def test_selection_depends_on_its_mode(spark):
     # sentence 0: five matches whatever the reference; sentence 1: six edits with one match, or a noop
     rows = [("d", 0, 0, 5, 0, 0), ("d", 1, 0, 1, 0, 5), ("d", 1, 1, 0, 1, 0)]
