@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, gam, secrets, simhash
+from quillspark.llm import bpe, decontaminate, gam, near_copies, secrets
 from quillspark.llm.store import save
 
 
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the smallest id."""
-    return simhash.keep_first_of_class(docs)
+    """One document of each near-duplicate class (5-word Jaccard similarity 0.8 or more) stays, the one with the smallest id."""
+    return near_copies.keep_first_of_similar(docs, width=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, components, decision_list, decontaminate, gam, kd_shards, link_rank, secrets, simhash, store, token_archive
+from quillspark.llm import bpe, chat, components, decision_list, decontaminate, gam, kd_shards, link_rank, near_copies, secrets, simhash, store, token_archive
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, stats string, extra int"
@@ -253,6 +253,52 @@ def test_long_chain_is_one_component(spark):
     assert components.connected_components(chain).groupBy("root").count().collect()[0]["count"] == 301
 
 
+# ---- near copies
+
+
+def test_pipeline_near_copies_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [None, "", "  ", "a b", "A  b", "a c"]
+    for n in (12, 30, 60, 120, 300):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, 6):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(n)] = f"x{rng.randrange(5000)}"
+                texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    near = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        union = len(sets[a] | sets[b])
+        if not union or 5 * len(sets[a] & sets[b]) >= 4 * union:
+            near += sets[a] != sets[b]
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    assert near > 50
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [k for k in range(len(texts)) if top(k) == k]
+    assert kept.columns == docs_of(spark).columns
+
+
+def test_near_copies_are_chosen_by_row(spark):
+    rows = [(None, "one text of its own"), (None, "another text of its own"), (1, "third text"), (1, "fourth words"), (2, "third text"), (1, "third text")]
+    kept = near_copies.keep_first_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([*rows[:4]])
+    assert near_copies.keep_first_of_similar(docs_of(spark, [])).count() == 0
+
+
 # ---- BPE
 
 
