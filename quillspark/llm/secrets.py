@@ -2,7 +2,9 @@
 
 Two first-order Markov models over the characters of a token are counted from
 labelled samples.  A token is a secret when random strings explain it better
-than ordinary identifiers by more than a threshold, per character.
+than ordinary identifiers by more than a threshold, per character.  Of a token
+that is none as a whole, each window of the least length is judged alike, for a
+name or path joined to a secret dilutes its mean.
 """
 
 from __future__ import annotations
@@ -128,6 +130,49 @@ def log_odds(token: Column, odds: list[float]) -> Column:
     return F.when(F.length(token) > 1, let(codes, score)).otherwise(F.lit(0.0))
 
 
+def _windows(token: Column, odds: list[float], threshold: float) -> Column:
+    """``array<struct<start, stop>>`` of the stretches of ``token`` that windows above ``threshold`` cover.
+
+    A window is CANDIDATE_LEAST characters; it is widened to the separators
+    (= / _ -) next to it, and what overlaps or touches is one stretch.  A part
+    that shares a window with a secret may so go with it; none of the secret stays.
+    """
+    size, steps_each = len(ALPHABET) + 1, CANDIDATE_LEAST - 1
+    table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in odds) + "]"), "array<double>")
+    none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
+    to_separator = lambda text: F.length(F.regexp_extract(text, "^[^=/_-]*", 0))
+
+    def stretches(steps: Column) -> Column:
+        over = F.filter(
+            F.sequence(F.lit(1), F.size(steps) - steps_each + 1),
+            lambda i: F.aggregate(F.slice(steps, i, steps_each), F.lit(0.0), lambda a, x: a + x) / steps_each > threshold,
+        )
+        wide = F.transform(
+            over,
+            lambda i: F.struct(
+                (i - 1 - to_separator(F.reverse(F.substring(token, F.lit(1), i - 1)))).alias("start"),
+                (i - 1 + CANDIDATE_LEAST + to_separator(F.substring(token, i + CANDIDATE_LEAST, F.length(token)))).alias("stop"),
+            ),
+        )
+
+        def merge(acc: Column, w: Column) -> Column:
+            last = F.element_at(acc, -1)
+            longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], w["stop"]).alias("stop")))
+            return F.when(F.size(acc) == 0, F.array(w)).when(
+                w["start"] <= last["stop"], F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)
+            ).otherwise(F.concat(acc, F.array(w)))
+
+        return F.aggregate(F.array_distinct(wide), none, merge)
+
+    def step_scores(codes: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(table, F.get(codes, i) * size + F.get(codes, i + 1))
+        )
+
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.when(F.length(token) >= CANDIDATE_LEAST, let(let(codes, step_scores), stretches)).otherwise(none)
+
+
 def _named(spans: Column, kind: str) -> Column:
     return F.transform(
         spans,
@@ -141,7 +186,8 @@ def find_secrets(docs: DataFrame, odds: list[float], text_col: str = "text", thr
     """``docs`` with ``secrets``: array<struct<start, order, stop, kind>>, by start and then kind.
 
     Offsets count code points from 0, stop exclusive.  ``markov`` spans are
-    tokens that overlap no span of the fixed patterns.  Null and empty texts have
+    tokens that overlap no span of the fixed patterns, or stretches of such a
+    token between separators where its whole is no secret.  Null and empty texts have
     no spans.  Repeated rows get the same spans, an empty table stays empty; a
     column named secrets is replaced.
     """
@@ -157,7 +203,14 @@ def find_secrets(docs: DataFrame, odds: list[float], text_col: str = "text", thr
     def with_models(b: Column) -> Column:
         apart = lambda s: ~F.exists(b, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]))
         candidates = F.filter(match_spans(text, CANDIDATE), apart)
-        taken = F.filter(candidates, lambda s: log_odds(s["match"], odds) > threshold)
+        whole = lambda s: F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+        inside = lambda s: F.transform(
+            _windows(s["match"], odds, threshold),
+            lambda w: F.struct((s["start"] + w["start"]).alias("start"), (s["start"] + w["stop"]).alias("stop")),
+        )
+        taken = F.flatten(
+            F.transform(candidates, lambda s: F.when(log_odds(s["match"], odds) > threshold, whole(s)).otherwise(inside(s)))
+        )
         return F.sort_array(F.concat(b, _named(taken, "markov")))
 
     return docs.withColumn("secrets", let(base, with_models))

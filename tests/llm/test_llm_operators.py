@@ -414,6 +414,29 @@ def test_markov_models_tell_held_out_samples_apart(spark):
     assert right[True] > 0.93 and right[False] > 0.99
 
 
+def test_secrets_joined_to_names_and_paths(spark):
+    odds = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(12)
+    letters = secrets.ALPHABET[:62]
+    before = ["", "aws_secret_access_key=", "client_secret_value=", "https://hooks.example.org/services/integrations/hooks/"]
+    after = ["", "/callback/handler", "_production_environment_value"]
+    cases = [(b, "".join(rng.choice(letters) for _ in range(n)), a) for b in before for a in after for n in (20, 24, 32, 40) for _ in range(25)]
+    docs = docs_of(spark, [f"see {b}{x}{a} there" for b, x, a in cases])
+    clean = {r.doc_id: r.text for r in secrets.redact(secrets.find_secrets(docs, odds)).collect()}
+    for n, least in ((20, 0.95), (24, 0.98), (32, 0.99), (40, 0.99)):
+        of = [k for k, c in enumerate(cases) if len(c[1]) == n]
+        gone = [not any(cases[k][1][i : i + 6] in clean[k] for i in range(n - 5)) for k in of]
+        assert sum(gone) >= least * len(of)
+    words = secrets.IDENTIFIER_WORDS
+    plain = ["".join(rng.choice(words) + rng.choice("/_-=") for _ in range(rng.randint(3, 12))) for _ in range(600)]
+    found = secrets.find_secrets(docs_of(spark, plain), odds).where(F.exists("secrets", lambda s: s["kind"] == "markov")).count()
+    assert found <= 6
+    # two secrets of one run: parts next to them may go too, those further off stay
+    two = f"first_value={'9fK2' * 6}/ordinary/directory/listing/reference/{'Zq7X' * 6}"
+    spans = secrets.find_secrets(docs_of(spark, [two]), odds).first().secrets
+    assert all(a.stop < b.start for a, b in itertools.pairwise(spans)) and "listing" in "".join(two[a.stop : b.start] for a, b in itertools.pairwise(spans))
+
+
 # ---- quality model
 
 
