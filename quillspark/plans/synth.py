@@ -63,6 +63,17 @@ class Dialect:
     def div(self, a: str, b: str) -> str:
         return f"({a}) // ({b})" if self.duck else f"cast(({a}) div ({b}) as int)"
 
+    def run_id(self, doc: str, c: str) -> str:
+        """Number of the c-th run of a document.
+
+        From the 10,000th run on Spark counts in a range of its own, 2**26 to a
+        document (more than 2 GB of text hold), where DuckDB's statement runs
+        into the next document; up to there the two are the same.
+        """
+        if self.duck:
+            return f"{doc} * 10000 + {c}"
+        return f"case when {c} < 10000 then {doc} * 10000 + {c} else 4611686018427387904 + {doc} * 67108864 + {c} end"
+
     def upper(self, x: str) -> str:
         return f"translate({x}, '{_LOWER}', '{_UPPER}')"
 
@@ -117,7 +128,7 @@ def tables(d: Dialect) -> str:
     return f"""
         worded as (select doc_id, lang as ds, {words} as w from documents where text is not null),
         cut as (select doc_id, ds, w, {d.explode(d.count_up(d.div(f"{d.size('w')} + {RUN - 1}", str(RUN))), 'c')} from worded where {d.size('w')} > 0),
-        base as (select doc_id * 10000 + c as row_id, ds, {d.part('w', f'c * {RUN} + 1', str(RUN))} as toks from cut),
+        base as (select {d.run_id('doc_id', 'c')} as row_id, ds, {d.part('w', f'c * {RUN} + 1', str(RUN))} as toks from cut),
         turned as (select row_id, ds, toks, {swapped} as sw from base),
         made as (select row_id, ds, toks, sw, {corrupt(True, True, True)} as src, {corrupt(True, True, False)} as t1,
             {corrupt(True, False, False)} as u2, {corrupt(False, False, False)} as u3, {shout('sw', '{i} % 5 = 2')} as esrc,

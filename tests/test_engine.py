@@ -214,3 +214,13 @@ def test_journal_stream(spark, tmp_path):
     run.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.cache_key for r in got.collect()) == ["a", "b"]
+
+
+def test_runs_of_long_documents_keep_their_own_ids(spark, tmp_path):
+    from quillspark.plans import synth
+
+    texts = [(1, "a " * (16 * 10_002), "en"), (2, "b " * 40, "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = synth.view(spark, str(tmp_path), "gec").selectExpr("row_id", "toks[0] as first").collect()
+    assert len(rows) == len({r.row_id for r in rows}) == 10_002 + 3
+    assert sorted(r.row_id for r in rows if r["first"] == "b") == [20_000, 20_001, 20_002]
