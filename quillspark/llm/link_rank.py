@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .store import discard, save
 
-DAMPING, MAX_ROUNDS, SETTLED = 0.85, 30, 1e-9
-#: A host is blocked when its distrust exceeds its trust by more than this share of the total of distrust.
+DAMPING, MAX_ROUNDS, SETTLED = 0.85, 200, 1e-9
+#: A host is blocked when its distrust exceeds its trust by more than this share of a ranked host's mean rank.
 THRESHOLD = 1e-7
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -59,46 +59,43 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = MAX_ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``(node, rank)``: PageRank over ``edges(src, dst)`` that restarts at ``seeds(node, weight)``.
 
     Weights are shares of one.  The rank of a node without links out goes back to
-    the seeds.  Each round sums what links carry before it shuffles, and is
-    written; only sums reach the driver.  Null or repeated edges count once or
-    not at all; no seeds: no ranks.
+    the seeds, which only scales what walks from the seeds collect; so each round
+    carries one step of all walks further, and the sum is scaled to one in the end.
+    Rounds go on until less than SETTLED is carried (unless ``rounds`` names their
+    number); MAX_ROUNDS without that are an error.  Each round sums what links
+    carry before it shuffles, and is written; only sums reach the driver.  Null or
+    repeated edges count once or not at all; no seeds: no ranks.
     """
     seeds = seeds.where("node is not null and weight > 0").groupBy("node").agg(F.sum("weight").alias("weight"))
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("node", F.col("weight").alias("rank"))
-    start = save(seeds.select("node", (F.col("weight") / total).alias("seed")), "seeds")
+    start = save(seeds.select("node", (F.col("weight") / total).alias("rank")), "seeds")
     clean = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
     degree = clean.groupBy("src").agg(F.count("*").alias("degree"))
     links = save(clean.join(degree, "src").select("src", "dst", (1 / F.col("degree")).alias("share")), "links")
-    sources = save(links.select(F.col("src").alias("node")).distinct(), "sources")
     if links.isEmpty():
-        return start.select("node", F.col("seed").alias("rank"))
-    rank = save(start.select("node", F.col("seed").alias("rank")), "rank")
-    for _ in range(rounds):
-        carried = (
-            links.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        )
-        kept = rank.join(sources, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        lost = max(0.0, 1.0 - kept)
-        new = carried.join(start, "node", "full_outer").select(
-            "node",
-            (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping + damping * lost) * F.coalesce("seed", F.lit(0.0))).alias("rank"),
-        )
-        following = save(new, "rank")
-        change = (
-            following.withColumnRenamed("rank", "new").join(rank, "node", "full_outer")
-            .agg(F.coalesce(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))), F.lit(0.0))).first()[0]
-        )
-        discard(rank)
-        rank = following
-        if change < SETTLED:
+        return start
+    step = rank = start
+    for turn in range(rounds or MAX_ROUNDS):
+        carried = links.join(step.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"))
+        following = save(carried.agg((damping * F.sum(F.col("share") * F.col("rank"))).alias("rank")), "step")
+        summed = save(rank.unionByName(following).groupBy("node").agg(F.sum("rank").alias("rank")), "rank")
+        if turn:
+            discard(step)
+            discard(rank)
+        step, rank = following, summed
+        if (step.agg(F.sum("rank")).first()[0] or 0.0) < SETTLED:
             break
-    return rank
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {MAX_ROUNDS} rounds")
+    whole = rank.agg(F.sum("rank")).first()[0]
+    return rank.select("node", (F.col("rank") / whole).alias("rank"))
 
 
 def judge_pages(
@@ -107,7 +104,8 @@ def judge_pages(
     """``pages`` with host, path, rule, trust, distrust (per host; 0 without any) and verdict.
 
     A rule that fits decides.  Otherwise the page is blocked if its host's
-    distrust exceeds its trust by more than ``threshold``, else allowed.  Trusted
+    distrust exceeds its trust by more than ``threshold`` over the number of
+    ranked hosts (so that a larger graph sets no higher bar), else allowed.  Trusted
     seeds are hosts by their share of pages that rules allow, blocked seeds by
     those that rules block.  Null urls and urls without a scheme have empty host
     and path, and are allowed.  Repeated rows are judged alike, an empty table
@@ -132,8 +130,9 @@ def judge_pages(
     scores = trust.join(distrust, "host", "full_outer").select(
         F.col("host").alias("__host"), F.coalesce("trust", F.lit(0.0)).alias("__trust"), F.coalesce("distrust", F.lit(0.0)).alias("__distrust")
     )
+    bar = threshold / max(1, scores.count())
     judged = ruled.join(scores, F.col("host") == F.col("__host"), "left")
-    own = F.when(F.coalesce("__distrust", F.lit(0.0)) - F.coalesce("__trust", F.lit(0.0)) > threshold, "block").otherwise("allow")
+    own = F.when(F.coalesce("__distrust", F.lit(0.0)) - F.coalesce("__trust", F.lit(0.0)) > bar, "block").otherwise("allow")
     return (
         judged.withColumn("trust", F.coalesce("__trust", F.lit(0.0)))
         .withColumn("distrust", F.coalesce("__distrust", F.lit(0.0)))

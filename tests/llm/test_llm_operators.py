@@ -198,6 +198,22 @@ def test_distrust_reaches_those_who_link_to_the_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_verdicts_do_not_hang_on_graph_size_or_depth(spark):
+    rules = [("allow", "com/"), ("block", "net/es/")]
+    pages = []
+    for k in range(40):
+        pages += [(k, f"http://bad{k}.net/es/", ""), (100 + k, f"http://friend{k}.org/", f'<a href="http://bad{k}.net/es/">')]
+    for many in (1, 40):
+        some = [p for p in pages if p[0] % 100 < many]
+        judged = link_rank.judge_pages(spark.createDataFrame(some, "page_id long, url string, html string"), rules, threshold=0.05)
+        assert {r.verdict for r in judged.collect()} == {"block"}
+    chain = [(f"h{k}", f"h{k + 1}") for k in range(34)]
+    got = link_rank.propagate(spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("h0", 1.0)], "node string, weight double"))
+    ranks = {r.node: r["rank"] for r in got.collect()}
+    want = 0.85**34 / sum(0.85**k for k in range(35))
+    assert len(ranks) == 35 and abs(ranks["h34"] - want) < 1e-9
+
+
 # ---- SimHash
 
 
