@@ -30,6 +30,53 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+#: Elements that one inner fold joins; folds over folds keep the work on n elements at about n times this.
+FOLD = 512
+#: Code points in a block of :func:`cut_out`.
+BLOCK = 4096
+
+
+def spans_of(steps: Column) -> Column:
+    """array<struct<start, stop, match>> from array<struct<gap, match>>: matches in order and the length before each.
+
+    An array grows by copying, so places are summed over runs of FOLD elements,
+    and each run is then moved to its place.
+    """
+    none = F.expr("cast(array() as array<struct<start: int, stop: int, match: string>>)")
+
+    def add(acc: Column, s: Column) -> Column:
+        begin = acc["at"] + s["gap"]
+        end = begin + F.length(s["match"])
+        span = F.struct(begin.alias("start"), end.alias("stop"), s["match"].alias("match"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    def run(b: Column) -> Column:
+        return F.aggregate(F.slice(steps, b * FOLD + 1, FOLD), F.struct(F.lit(0).alias("at"), none.alias("spans")), add)
+
+    def moved(runs: Column) -> Column:
+        starts = F.aggregate(
+            runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"]))
+        )
+
+        def shift(s: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    runs,
+                    lambda r, i: F.transform(
+                        r["spans"],
+                        lambda x: F.struct(
+                            (x["start"] + F.get(s, i)).alias("start"), (x["stop"] + F.get(s, i)).alias("stop"), x["match"].alias("match")
+                        ),
+                    ),
+                )
+            )
+
+        return let(starts, shift)
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / FOLD).cast("int")), run)
+    return F.when(F.size(steps) > 0, let(runs, moved)).otherwise(none)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """The pattern's leftmost non-overlapping matches as array<struct<start, stop, match>>.
 
@@ -39,20 +86,29 @@ def match_spans(text: Column, pattern: str) -> Column:
     """
     none = F.expr("cast(array() as array<struct<start: int, stop: int, match: string>>)")
 
-    def placed(parts: Column) -> Column:
-        gaps, found = parts["gaps"], parts["found"]
-        steps = F.transform(found, lambda m, i: F.struct(F.length(gaps[i]).alias("gap"), m.alias("match")))
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def add(acc: Column, s: Column) -> Column:
-            begin = acc["at"] + s["gap"]
-            end = begin + F.length(s["match"])
-            span = F.struct(begin.alias("start"), end.alias("stop"), s["match"].alias("match"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-        return F.aggregate(steps, start, add)["spans"]
+    def steps(parts: Column) -> Column:
+        return F.transform(parts["found"], lambda m, i: F.struct(F.length(F.get(parts["gaps"], i)).alias("gap"), m.alias("match")))
 
     parts = F.struct(
         F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     )
-    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(none)
+    return F.when(text.rlike(pattern), let(let(parts, steps), spans_of)).otherwise(none)
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """array<string>: what stands under each of ``spans`` (struct<start, stop>, code points).
+
+    A substring counts its place from the text's beginning; so the text is first
+    cut into blocks, and each span reads the blocks that it touches alone.
+    """
+
+    def cut(v: Column) -> Column:
+        def one(s: Column) -> Column:
+            first, last = F.floor(s["start"] / BLOCK).cast("int"), F.floor((s["stop"] - 1) / BLOCK).cast("int")
+            near = F.array_join(F.slice(v["blocks"], first + 1, F.greatest(last - first + 1, F.lit(1))), "")
+            return F.substring(near, (s["start"] - first * BLOCK + 1).cast("int"), F.greatest(s["stop"] - s["start"], F.lit(0)).cast("int"))
+
+        return F.transform(v["spans"], one)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(F.struct(blocks.alias("blocks"), spans.alias("spans")), cut)

@@ -11,12 +11,31 @@ LOCAL_DEFAULT = "file:/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Unset, it is LOCAL_DEFAULT on a session of one machine, and an error elsewhere:
+    a machine-local folder is another folder on every executor.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return LOCAL_DEFAULT
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}/{name}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; for when its results are elsewhere."""
+    delete(spark, _own_dir(spark))
 
 
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
