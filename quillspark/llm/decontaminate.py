@@ -10,10 +10,14 @@ distance then decides how near the item comes there.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .store import save
 
 ERROR_RATE = 0.2
 #: Items are matched in blocks of at most about so many characters, each a pass over the documents.
@@ -96,8 +100,11 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def match(self, text: str | None) -> list[tuple[int, int, int, int, int, int]]:
-        """(item, its words, budget, distance, first word, word after the last) of the best passage of each item found."""
+    def match(self, text: str | None, any_will_do: bool = False) -> list[tuple[object, int, int, int, int, int]]:
+        """(item, its words, budget, distance, first word, word after the last) of the best passage of each item found.
+
+        ``any_will_do``: one item is enough.
+        """
         words = normal_words(text) if self.items else []
         if not words:
             return []
@@ -128,11 +135,13 @@ class Matcher:
                     best = (distance, a + end - length, a + end)
             if best[0] <= budget:
                 out.append((key, len(own), budget, *best))
-        return sorted(out)
+                if any_will_do:
+                    break
+        return sorted(out, key=lambda m: (m[0] is not None, m[0], m[1:]))
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
-    """Items in order of their id, block by block; the driver holds one block at a time."""
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str | None]]]:
+    """Items in order of their id, block by block; the driver holds one block and one row beyond it."""
     block, size = [], 0
     for row in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         text = row[text_col] or ""
@@ -145,6 +154,36 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> I
         yield block
 
 
+_built: dict[str, Matcher] = {}
+
+
+def matcher(name: str, block: list[tuple[object, str | None]], error_rate: float) -> Matcher:
+    """A worker process builds the automaton of a block once; ``name`` tells blocks apart."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(block, error_rate)
+    return _built[name]
+
+
+def _passes(
+    items: DataFrame, item_col: str, item_text: str, block_chars: int, start: DataFrame | None, one_pass: Callable[[DataFrame | None, str, list], DataFrame]
+) -> DataFrame | None:
+    """``one_pass(what the last pass made, name, block)`` for every block of items.
+
+    With more than one block each pass is written before the next block is
+    drawn, so neither the driver nor a plan ever holds two.
+    """
+    blocks, made = _blocks(items, item_col, item_text, block_chars), start
+    block = next(blocks, None)
+    while block is not None:
+        made = one_pass(made, uuid.uuid4().hex, block)
+        following = next(blocks, None)
+        if following is not None:
+            made = save(made, "matched")
+        block = following
+    return made
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
@@ -153,34 +192,56 @@ def find_leaks(
 
     Of several passages of an item in one document the nearest is told, the
     first among equals; words are counted in the normalised text, last exclusive.
-    Null and empty texts and items without a word match nothing.  Repeated rows
-    give repeated results, empty tables an empty one, other columns are ignored.
-    Items go to the executors in blocks of bounded size, each block a pass.
+    Ids keep their types; a null id is told as null.  Null and empty texts and
+    items without a word match nothing.  Repeated rows give repeated results,
+    empty tables an empty one, other columns are ignored.  Items go to the
+    executors in blocks of bounded size, each block a pass.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"{id_col} long, {item_col} long, n_words int, budget int, distance int, first_word int, last_word int"
-    out = None
-    for block in _blocks(items, item_col, item_text, block_chars):
-
-        def run(batches: Iterator, block=block) -> Iterator:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind, item_kind = rows.schema["id"].dataType, items.schema[item_col].dataType
+    names = [id_col, item_col, "n_words", "budget", "distance", "first_word", "last_word"]
+    schema = f"`{id_col}` {kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, " + ", ".join(f"{n} int" for n in names[2:])
+    item_type = to_arrow_type(item_kind)
+
+    def one_pass(before: DataFrame | None, name: str, block: list) -> DataFrame:
+        def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(block, error_rate)
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+            found_in = matcher(name, block, error_rate)
+            kinds = [item_type, *[pa.int32()] * 5]
             for b in batches:
-                found = [(k, *m) for k, t in zip(b.column(0).to_pylist(), b.column(1)) for m in matcher.match(t.as_py())]
-                columns = list(zip(*found)) or [()] * 7
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(columns, kinds)],
-                    names=[id_col, item_col, "n_words", "budget", "distance", "first_word", "last_word"],
-                )
+                found = [(k, m) for k, t in enumerate(b.column(1)) for m in found_in.match(t.as_py())]
+                ids = b.column(0).take(pa.array([k for k, _ in found], pa.int64()))
+                columns = list(zip(*[m for _, m in found])) or [()] * 6
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
         found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        return found if before is None else before.unionByName(found)
+
+    out = _passes(items, item_col, item_text, block_chars, None, one_pass)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the rows in which an item was found; rows with a null id are judged by id like others."""
-    bad = find_leaks(docs, items, id_col=id_col, **kw).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """``docs`` without the rows whose own text holds an item.
+
+    Every row is judged where it is read, by nothing but its text, so ids may be
+    null, shared or of any type, and no text is shuffled.  Rows with null and
+    empty texts stay; so do all rows if there are no items.  All columns are kept.
+    """
+    at = docs.columns.index(text_col)
+
+    def one_pass(before: DataFrame | None, name: str, block: list) -> DataFrame:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            found_in = matcher(name, block, error_rate)
+            for b in batches:
+                yield b.filter(pa.array([not found_in.match(t.as_py(), any_will_do=True) for t in b.column(at)], pa.bool_()))
+
+        return before.mapInArrow(run, before.schema)
+
+    return _passes(items, item_col, item_text, block_chars, docs, one_pass)
