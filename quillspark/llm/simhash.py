@@ -1,17 +1,23 @@
 """SimHash near-duplicate classes by multi-index hashing.
 
-A 64-bit fingerprint is cut into two 32-bit segments.  Two fingerprints at two
-or fewer differing bits have a point between them that differs from each in at
-most one bit, and that bit lies in one segment.  So every distinct fingerprint
-enumerates the radius-1 Hamming ball of each segment (the other segment as it
-is), looks the 66 resulting entries up in one table, and what meets there is
-verified on all 64 bits.  An entry is met by at most 65 distinct fingerprints
-whatever the data hold, so a hot bucket cannot arise: links run from each to
-the entry's smallest fingerprint and never as all pairs of a bucket.
+A 64-bit fingerprint is cut into SEGMENTS segments.  Of two fingerprints at
+``radius`` or fewer differing bits one segment differs in at most radius //
+SEGMENTS of them.  So a table holds every distinct fingerprint under (segment,
+value of the segment); each fingerprint enumerates the Hamming ball of that
+radius around each of its segments, fetches what the table holds under those
+values, and the whole 64 bits of every match are verified.
+
+A value that more than BUCKET fingerprints share, as large groups of near copies
+make them, would be matched in all pairs.  Fingerprints that touch such a value
+are matched by the rest of their bits too: both sides enumerate a ball around
+the whole fingerprint of half the radius, and meet at a point between them.  Few
+can meet at one point, and links run from each to the smallest there.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +27,8 @@ from .components import connected_components
 from .store import save
 
 SEGMENTS, SEGMENT_BITS = 2, 32
+#: Fingerprints that one value of a segment may have before they are matched by all their bits.
+BUCKET = 32
 #: The seed of XXH64, as Spark's own xxhash64 has it.
 SEED = 42
 
@@ -66,36 +74,75 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint long")
 
 
-def _ball(value: Column) -> Column:
-    """The entries of a fingerprint: for each segment, the segment itself and its one-bit changes."""
-    entries = [value]
-    for segment in range(SEGMENTS):
-        for bit in range(SEGMENT_BITS):
-            mask = 1 << (segment * SEGMENT_BITS + bit)
-            entries.append(value.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    return F.array(*entries)
+def _flips(bits: range, radius: int) -> list[int]:
+    """The masks, as signed longs, that change at most ``radius`` of ``bits``; none changed comes first."""
+    masks = [sum(1 << b for b in chosen) for n in range(radius + 1) for chosen in itertools.combinations(bits, n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """``(u, v)`` links of a table of distinct ``fingerprint``; linked classes are complete.
+def _segment(value: Column, segment: int) -> Column:
+    """The bits of one segment, in place."""
+    low = segment * SEGMENT_BITS
+    mask = ((1 << SEGMENT_BITS) - 1) << low
+    return value.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def segment_table(distinct: DataFrame) -> DataFrame:
+    """``(segment, value, member)``: every fingerprint under the value of each of its segments."""
+    entries = [F.struct(F.lit(s).cast("byte").alias("segment"), _segment(F.col("fingerprint"), s).alias("value")) for s in range(SEGMENTS)]
+    return distinct.select(F.explode(F.array(*entries)).alias("e"), F.col("fingerprint").alias("member")).select("e.*", "member")
+
+
+def ball_probes(distinct: DataFrame, radius: int) -> DataFrame:
+    """``(segment, value, probe)``: the Hamming ball of ``radius`` around each segment of every fingerprint."""
+
+    def ball(segment: int) -> Column:
+        own, bits = _segment(F.col("fingerprint"), segment), range(segment * SEGMENT_BITS, (segment + 1) * SEGMENT_BITS)
+        values = F.array(*[own.bitwiseXOR(F.lit(m)) for m in _flips(bits, radius)])
+        return F.transform(values, lambda v: F.struct(F.lit(segment).cast("byte").alias("segment"), v.alias("value")))
+
+    balls = F.concat(*[ball(s) for s in range(SEGMENTS)])
+    return distinct.select(F.explode(balls).alias("e"), F.col("fingerprint").alias("probe")).select("e.*", "probe")
+
+
+def _far(u: str, v: str) -> Column:
+    return F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
+
 
-    Radius 0 needs no index, 1 and 2 use radius-1 balls; larger radii are refused.
+def _links_of_crowds(crowd: DataFrame, radius: int) -> DataFrame:
+    """Links within a table of ``fingerprint``, each met at a point between two.
+
+    Of two at most ``radius`` apart, a point lies within radius // 2 of one and
+    the rest of the other.  Those within radius // 2 of a point are linked to the
+    smallest of them, and so are those further off.
     """
-    if radius not in (0, 1, 2):
-        raise ValueError("radius must be 0, 1 or 2")
+    near = radius // 2
+    masks = _flips(range(64), radius - near)
+    inner = sum(math.comb(64, n) for n in range(near + 1))  # so many masks, the first ones, stay within near
+    point = F.posexplode(F.array(*[F.col("fingerprint").bitwiseXOR(F.lit(m)) for m in masks])).alias("nth", "point")
+    met = crowd.select("fingerprint", point)
+    least = F.min(F.when(F.col("nth") < inner, F.col("fingerprint"))).over(Window.partitionBy("point"))
+    linked = met.select(F.col("fingerprint").alias("u"), least.alias("v"))
+    return linked.where((F.col("u") != F.col("v")) & (_far("u", "v") <= radius))
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """``(u, v)`` links of a table of distinct ``fingerprint``; the classes they make are complete for ``radius`` (0 to 3)."""
+    if radius not in range(4):
+        raise ValueError("radius must be from 0 to 3")
     if radius == 0:
         return distinct.select(F.col("fingerprint").alias("u"), F.col("fingerprint").alias("v")).where("false")
-    table = distinct.select("fingerprint", F.explode(_ball(F.col("fingerprint"))).alias("entry"))
-    if radius == 1:
-        # one end of a one-bit link is itself the entry that the other end probes
-        met = table.select(F.col("fingerprint").alias("u"), F.col("entry").alias("v")).join(
-            distinct.select(F.col("fingerprint").alias("v")), "v"
-        )
-    else:
-        least = F.min("fingerprint").over(Window.partitionBy("entry"))
-        met = table.select(F.col("fingerprint").alias("u"), least.alias("v"))
-    far = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    return met.where((F.col("u") != F.col("v")) & (far <= radius)).select("u", "v")
+    table, probes = segment_table(distinct), ball_probes(distinct, radius // SEGMENTS)
+    # the table is the smaller side by far, and no value of it is left with more than BUCKET rows
+    counts = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    crowded = save(counts.where(F.col("n") > BUCKET).select("segment", "value"), "crowded")
+    if crowded.isEmpty():
+        met = probes.join(table.hint("shuffle_hash"), ["segment", "value"]).where((F.col("probe") < F.col("member")) & (_far("probe", "member") <= radius))
+        return met.select(F.col("probe").alias("u"), F.col("member").alias("v"))
+    calm = table.join(crowded, ["segment", "value"], "left_anti")
+    met = probes.join(calm.hint("shuffle_hash"), ["segment", "value"]).where((F.col("probe") != F.col("member")) & (_far("probe", "member") <= radius))
+    crowd = probes.join(crowded, ["segment", "value"], "left_semi").select(F.col("probe").alias("fingerprint")).distinct()
+    return met.select(F.col("probe").alias("u"), F.col("member").alias("v")).unionByName(_links_of_crowds(crowd, radius))
 
 
 def near_duplicate_classes(
@@ -117,14 +164,3 @@ def near_duplicate_classes(
     names = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classed.join(names, "root").select("fingerprint", "component_id")
     return own.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
-
-
-def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class, the one with the smallest id.
-
-    Of rows that repeat an id, one stays.
-    """
-    classes = near_duplicate_classes(docs, id_col, text_col, **kw)
-    first = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(first, docs[id_col].eqNullSafe(first[id_col]), "left_semi")
-    return kept.dropDuplicates([id_col])
