@@ -4,12 +4,16 @@ A conversation is one string::
 
     <s>[INST]role[/INST]content</s>[INST]role[/INST]content</s>...
 
-Content is visited part by part: text is escaped, an image, audio or document
-part leaves its placeholder and an entry in the attachments, with the number of
-tokens that the placeholder will be expanded to.  A control string inside a
-text gets one backslash more after its first character (``</s>`` is written
-``<\/s>``, ``<\/s>`` is written ``<\\/s>``), so none is left as it was and
-taking one backslash away restores every text.
+Content is visited in order: neighbouring texts are one text, which is escaped as
+a whole, so parts that only make a control string together are escaped too; an
+image, audio or document part leaves its placeholder and an entry in the
+attachments, with the number of tokens that the placeholder will be expanded to.
+A control string inside a text gets one backslash more after its first character
+(``</s>`` is written ``<\/s>``, ``<\/s>`` is written ``<\\/s>``), so none is left
+as it was and taking one backslash away restores every text.  A placeholder
+begins and ends with characters that no control string goes on with, so what
+stands next to it can't make one; and a bare placeholder is never text, so
+content is read back as typed parts.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .native import let
+from .native import cut_out, let
 
 BEGIN, END, ROLE, CONTENT = "<s>", "</s>", "[INST]", "[/INST]"
 PLACEHOLDERS = {"image": "<image>", "audio": "<audio>", "document": "<document>"}
@@ -30,6 +34,9 @@ _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|image>|audio>|document>)"
 _ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|image>|audio>|document>)"
 
 
+_PLACEHOLDER = "<(?:" + "|".join(PLACEHOLDERS) + ")>"
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, _CONTROL, r"$1\\$2$3")
 
@@ -44,12 +51,33 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), null.cast("string").alias("ref"), null.cast("int").alias("units")))
 
 
-def _visit(part: Column) -> Column:
-    """A part's characters.  An unknown kind stands for its text, a missing text for nothing."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
-    for kind, mark in PLACEHOLDERS.items():
-        out = F.when(part["kind"] == kind, F.lit(mark)).otherwise(out)
-    return out
+def _visit(parts: Column) -> Column:
+    """The characters of a turn's parts.  An unknown kind stands for its text, a missing text for nothing.
+
+    ``bounds`` are the places of the attachments with one before and one behind
+    all parts; what lies between two of them is one text.
+    """
+    texts = F.transform(parts, lambda p: F.coalesce(p["text"], F.lit("")))
+    places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: _is_attachment(F.get(parts, i)))
+    bounds = F.concat(F.array(F.lit(-1)), F.when(F.size(parts) > 0, places).otherwise(F.array().cast("array<int>")), F.array(F.size(parts)))
+
+    def mark(kind: Column) -> Column:
+        out = F.lit("")
+        for name, placeholder in PLACEHOLDERS.items():
+            out = F.when(kind == name, F.lit(placeholder)).otherwise(out)
+        return out
+
+    def pieces(v: Column) -> Column:
+        def piece(k: Column) -> Column:
+            begin, end = F.get(v["bounds"], k) + 1, F.get(v["bounds"], k + 1)
+            text = escape(F.array_join(F.slice(v["texts"], begin + 1, end - begin), ""))
+            closing = F.when(end < F.size(v["kinds"]), mark(F.get(v["kinds"], end))).otherwise(F.lit(""))
+            return F.concat(text, closing)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(v["bounds"]) - 2), piece), "")
+
+    kinds = F.transform(parts, lambda p: F.coalesce(p["kind"], F.lit("")))
+    return let(F.struct(bounds.alias("bounds"), texts.alias("texts"), kinds.alias("kinds")), pieces)
 
 
 def _is_attachment(part: Column) -> Column:
@@ -83,7 +111,7 @@ def format_conversations(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
         role.alias("role"),
-        F.array_join(F.transform(parts, _visit), "").alias("content"),
+        _visit(parts).alias("content"),
         F.transform(
             F.filter(parts, _is_attachment),
             lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")),
@@ -110,7 +138,12 @@ def format_conversations(
 
 
 def parse_turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array<struct<role, content>>, unescaped."""
+    """The turns of a formatted conversation: array<struct<role, content, parts>>, unescaped.
+
+    content is the turn's characters, placeholders among them; parts is
+    array<struct<kind, text>>, where a placeholder is a part of its kind without
+    text and what stands between is text.  Empty texts are no parts.
+    """
     body = F.substring(formatted, len(BEGIN) + 1, F.length(formatted))
     pieces = F.filter(F.split(body, END), lambda p: p != "")
 
@@ -118,16 +151,33 @@ def parse_turns(formatted: Column) -> Column:
         # no text holds a bare control string, so the first [/INST] ends the role
         end = F.instr(piece, CONTENT)
         role = F.substring(piece, len(ROLE) + 1, end - len(ROLE) - 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substring(piece, end + len(CONTENT), F.length(piece))).alias("content"))
+        content = F.substring(piece, end + len(CONTENT), F.length(piece))
+        return F.struct(unescape(role).alias("role"), unescape(content).alias("content"), _parts(content).alias("parts"))
 
     return F.transform(pieces, turn)
 
 
+def _parts(content: Column) -> Column:
+    """array<struct<kind, text>> of escaped content."""
+
+    def typed(v: Column) -> Column:
+        text = lambda t: F.struct(F.lit("text").alias("kind"), unescape(t).alias("text"))
+        mark = lambda m: F.struct(F.substring(m, F.lit(2), F.length(m) - 2).alias("kind"), F.lit(None).cast("string").alias("text"))
+        both = F.flatten(
+            F.transform(
+                v["texts"],
+                lambda t, k: F.when(k < F.size(v["marks"]), F.array(text(t), mark(F.get(v["marks"], k)))).otherwise(F.array(text(t))),
+            )
+        )
+        return F.filter(both, lambda p: (p["kind"] != "text") | (p["text"] != ""))
+
+    marks = F.regexp_extract_all(content, F.lit(_PLACEHOLDER), F.lit(0))
+    return let(F.struct(F.split(content, _PLACEHOLDER, -1).alias("texts"), marks.alias("marks")), typed)
+
+
 def loss_text(formatted: Column, loss: Column) -> Column:
     """What stands under the loss mask, unescaped, in order, nothing between.
 
     Each span is unescaped alone: two texts side by side make no escape.
     """
-    return F.array_join(
-        F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), ""
-    )
+    return F.array_join(F.transform(cut_out(formatted, loss), unescape), "")
