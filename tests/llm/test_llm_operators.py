@@ -233,12 +233,14 @@ def test_fingerprints():
         assert simhash.text_fingerprint(t) == brute_fingerprint(t)
 
 
-def test_links_and_components_against_brute_force(spark):
+@pytest.mark.parametrize(("radius", "bucket"), [(2, 32), (2, 1), (1, 32), (1, 1), (3, 32), (3, 2), (0, 32)])
+def test_links_and_components_against_brute_force(spark, monkeypatch, radius, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(30)]
     prints = {b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(12)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fingerprint long"))
+    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fingerprint long"), radius)
     root = {r.node: r.root for r in components.connected_components(links).collect()}
     parent = {p: p for p in signed}
 
@@ -248,7 +250,7 @@ def test_links_and_components_against_brute_force(spark):
         return p
 
     for a, b in itertools.combinations(signed, 2):
-        if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+        if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius:
             x, y = sorted((top(a), top(b)))
             parent[y] = x
     assert all(root.get(p, p) == top(p) for p in signed)
@@ -259,8 +261,6 @@ def test_near_duplicate_classes(spark):
     of = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
     assert len(got) == len(TEXTS) + 2
     assert of[0] == of[1] == of[2] == 0 and of[4] == of[5] == 4 and of[3] == 3
-    kept = simhash.keep_first_of_class(docs_of(spark))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of.values())) and kept.columns == docs_of(spark).columns
     assert simhash.near_duplicate_classes(docs_of(spark, [])).count() == 0
 
 
@@ -390,7 +390,8 @@ def test_shards(spark):
     kd_shards.write_shards(docs_of(spark, []), path, shards=3)
     assert kd_shards.read_shards(spark, path).count() == 0
     meta = kd_shards._with_keys(docs, "doc_id", "text", "lang", "source")
-    assert kd_shards.build_tree(meta, 1, target_bytes=10_000).shards == -(-sum(sizes.values()) // 10_000)
+    tree = kd_shards.build_tree(meta, 1, target_bytes=10_000)
+    assert tree.shards == len(tree.leaves()) == -(-sum(sizes.values()) // 10_000)
 
 
 # ---- secrets
