@@ -9,19 +9,23 @@ logarithmic cost.  The word is done when the root holds no rank.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts between white space whose ids a worker remembers; beyond it starts anew.
-CACHE_ENTRIES = 500_000
+#: What a worker remembers of the ids of texts between white space: at most so many bytes, then it starts anew;
+#: texts of more characters than KEEP_CHARS are never remembered.  ENTRY_BYTES is what an entry takes besides its texts.
+CACHE_BYTES, KEEP_CHARS, ENTRY_BYTES = 96 << 20, 64, 180
+#: Characters that Python's tables and the library's agree on, as a test tells for each; others go through the library's own steps.
+KNOWN_ALIKE = "\x00-\u02ff\u0370-\u0377\u0384-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5"
 #: Words of up to so many bytes are merged in arrays of at most so many rows; longer ones singly.
 BATCH_WORD_BYTES, BATCH_ROWS = 48, 8192
 #: Texts are encoded in parts of about so many characters.
 PART_CHARS = 2_000_000
-_POSITION_BITS = 24
+_POSITION_BITS = 40
 _NONE = 1 << 62
 
 
@@ -162,6 +166,7 @@ class WordBpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -176,6 +181,9 @@ class WordBpe:
         self.tokens = [named.get(i, "") for i in range(max(named) + 1)]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.strange = re.compile(f"[^{KNOWN_ALIKE}]")
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(split), "removed", invert=True)
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.blank = regex.compile(r"\p{White_Space}+")
         symbols = byte_symbols()
@@ -186,7 +194,12 @@ class WordBpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
         self.trees = BatchPairTrees(self.pairs)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew, with the special tokens alone."""
+        self.known: dict[str, bytes] = {u: array("I", [i]).tobytes() for u, i in self.special.items()}
+        self.held = 0
 
     def word(self, word: str) -> list[int]:
         """Ids of one piece that the split pattern made."""
@@ -223,16 +236,25 @@ class WordBpe:
                     at = end
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        """Remember the ids of what stands between white space."""
-        if len(self.known) + len(units) > CACHE_ENTRIES:
-            self.known.clear()
-        parted = [(u, self.words.findall(u)) for u in units.difference(self.known) if u not in self.special]
+    def _pieces(self, unit: str) -> list[str]:
+        """The words of what stands between white space, as the library's own pattern splits it."""
+        if self.strange.search(unit):
+            return [piece for piece, _ in self.splitter.pre_tokenize_str(unit)]
+        return self.words.findall(unit)
+
+    def _encoded(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of distinct texts between white space, which are remembered within the bound."""
+        parted = [(u, self._pieces(u)) for u in units]
         ids = self.word_many(list({w for _, ws in parted for w in ws}))
-        for u, ws in parted:
-            self.known[u] = array("I", ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]).tobytes()
-        for u, i in self.special.items():
-            self.known[u] = array("I", [i]).tobytes()
+        out = {u: array("I", ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]).tobytes() for u, ws in parted}
+        kept = {u: x for u, x in out.items() if len(u) <= KEEP_CHARS}
+        size = sum(2 * len(u) + len(x) + ENTRY_BYTES for u, x in kept.items())
+        if self.held + size > CACHE_BYTES:
+            self._forget()
+        if size <= CACHE_BYTES:
+            self.known.update(kept)
+            self.held += size
+        return out
 
     def _plain(self, text: str) -> list[str]:
         import unicodedata
@@ -241,8 +263,8 @@ class WordBpe:
             # str.split() also cuts at \x1c-\x1f, which are no white space to the tokenizer
             if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 return text.lower().split()
-        elif not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+        elif self.strange.search(text) or not unicodedata.is_normalized("NFC", text):
+            return [u for u in self.normalizer.normalize_str(text).split(" ") if u]
         # each character is lowered for itself: a final sigma has no form of its own
         return [u for u in self.blank.split(text.replace("Σ", "σ").lower()) if u]
 
@@ -260,17 +282,14 @@ class WordBpe:
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each whole text its ids as little-endian u32, and what they decode to, in UTF-8."""
         parted = [self.units(t) for t in texts]
-        need = set().union(*parted).difference(self.known)
-        if need:
-            self._learn(need)
-        get, out = self.known.get, []
-        for units in parted:
-            found = list(map(get, units))
-            if None in found:  # the memory was started anew
-                self._learn(set(units))
-                found = list(map(get, units))
-            ids = b"".join(found)
-            out.append((ids, self.decode(ids)))
+        get = self.known.get
+        found = [list(map(get, units)) for units in parted]
+        need = {u for units, ids in zip(parted, found) if None in ids for u, x in zip(units, ids) if x is None}
+        fresh = self._encoded(list(need)) if need else {}
+        out = []
+        for units, ids in zip(parted, found):
+            whole = b"".join([fresh[u] if x is None else x for u, x in zip(units, ids)] if need else ids)
+            out.append((whole, self.decode(whole)))
         return out
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
@@ -300,8 +319,9 @@ def encode_texts(
 
     Null texts are empty; empty texts have no ids and decode to nothing.  Repeated
     rows give repeated results, an empty table an empty one; other columns are
-    ignored.
+    ignored, and so is a carried one that is named like a new one.
     """
+    carry = tuple(c for c in carry if c not in ("n_tokens", "ids", "decoded", id_col))
 
     rows = docs.select(F.col(id_col), *carry, F.col(text_col).cast("string").alias("__text"))
     kept = rows.columns[:-1]

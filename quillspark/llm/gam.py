@@ -50,7 +50,8 @@ def text_features(text: str | None) -> list[float]:
 
 
 def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, *carry, features)`` with the features of every row as an array."""
+    """``(id, *carry, features)`` with the features of every row as an array; a carried column of either name is left out."""
+    carry = tuple(c for c in carry if c not in ("id", "features"))
     rows = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).cast("string").alias("__text"))
     kept = rows.columns[:-1]
 
