@@ -25,19 +25,27 @@ from collections.abc import Callable, Iterator
 from itertools import compress
 from operator import not_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"QTK1"
-#: Dictionary training reads at most this many texts, none longer than this many characters.
+#: Dictionary training reads at most this many texts, of a longer one a stretch of this many characters from anywhere in it.
 DICT_SAMPLE_ROWS, DICT_SAMPLE_CHARS, DICT_BYTES = 600, 8_192, 65_536
-BLOCK_BYTES = 1 << 20
+#: A block ends at so many compressed bytes or so many bytes of ids, whichever comes first (one document aside).
+BLOCK_BYTES, BLOCK_RAW_BYTES = 1 << 20, 16 << 20
+#: Bytes of texts that a shard is to hold; there are as many shards as that asks for, and at least the shuffle partitions.
+SHARD_BYTES = 256 << 20
 #: Texts are encoded in parts of about so many characters.
 PART_CHARS = 500_000
 #: Unseen chunks are encoded in texts of so many.
 LEARN_TOGETHER = 200
-#: Chunks whose ids a worker remembers; beyond it starts anew.
-CACHE_ENTRIES = 2_000_000
+#: What a worker remembers of chunks' ids: at most so many bytes, then it starts anew; chunks of more characters than
+#: KEEP_CHARS are never remembered.  ENTRY_BYTES is what an entry takes besides its texts.
+CACHE_BYTES, KEEP_CHARS, ENTRY_BYTES = 256 << 20, 48, 150
+#: Texts of which more than this share of chunks is new are encoded as they are: remembering them would not pay.
+NEW_SHARE = 0.4
+#: So are texts with a new chunk of more characters than this, as scripts without spaces have them.
+LONG_CHUNK = 2_000
 
 
 class ChunkEncoder:
@@ -67,22 +75,25 @@ class ChunkEncoder:
             self.spaced[i] = token.startswith("Ġ")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of a space and each chunk; b"" for what can't stand between two cuts."""
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of a space and each chunk, remembered within the bound; b"" for what can't stand between two cuts."""
         import numpy as np
 
-        if len(self.known) + len(chunks) > CACHE_ENTRIES:
-            self.known.clear()  # what was found before stays in the lists that hold it
         width = self.dtype.itemsize
         good = [c for c in chunks if c and not (c[0].isspace() or c[-1].isspace())]
-        if len(good) < len(chunks):
-            self.known.update((c, b"") for c in set(chunks).difference(good))
+        out = dict.fromkeys(set(chunks).difference(good), b"")
         for k in range(0, len(good), LEARN_TOGETHER):
             some = good[k : k + LEARN_TOGETHER]
             together = self.tok.encode_batch_fast(["a " + " ".join(some)], add_special_tokens=False)[0]
@@ -90,25 +101,37 @@ class ChunkEncoder:
             at = np.flatnonzero(self.spaced[ids])
             if len(at) == len(some):
                 raw, at = ids.tobytes(), (at * width).tolist()
-                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+                out.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
             else:
-                self.known.update((c, self._ids(" " + c)) for c in some)
+                out.update((c, self._ids(" " + c)) for c in some)
+        kept = {c: x for c, x in out.items() if len(c) <= KEEP_CHARS}
+        size = sum(2 * len(c) + len(x) + ENTRY_BYTES for c, x in kept.items())
+        if self.held + size > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        if size <= CACHE_BYTES:
+            self.known.update(kept)
+            self.held += size
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each whole text its ids, little-endian."""
-        met, unknown = [], set()
+        get = self.known.get
+        met, unknown, chunks = [], set(), 0
         for text in texts:
             parts = text.split(" ")
-            found = list(map(self.known.get, parts))
+            found = list(map(get, parts))
             open_ = list(compress(range(len(parts)), map(not_, found)))  # unseen, or known not to stand between cuts
             unknown.update([parts[i] for i in open_])
+            chunks += len(parts)
             met.append((parts, found, open_))
-        if unknown := unknown.difference(self.known):
-            self._learn(list(unknown))
-        known, out = self.known, []
+        new = [c for c in unknown if c not in self.known]
+        if len(new) > NEW_SHARE * chunks or any(len(c) > LONG_CHUNK for c in new):
+            return self._whole(texts)
+        fresh = self._learn(new) if new else {}
+        out = []
         for text, (parts, found, open_) in zip(texts, met):
             for i in open_:
-                found[i] = known.get(parts[i])
+                found[i] = fresh.get(parts[i])
             if len(parts) > 1 and all([found[i] for i in open_]):
                 found[0] = self._ids(parts[0])
                 out.append(b"".join(found))
@@ -119,8 +142,10 @@ class ChunkEncoder:
     def _apart(self, text: str) -> bytes:
         """A text in which white space meets white space, cut only where a space stands alone."""
         parts = self.cut.split(text)
-        self._learn([p for p in set(parts[1:]) if p not in self.known])
         found = list(map(self.known.get, parts[1:]))
+        if new := {p for p, x in zip(parts[1:], found) if x is None}:
+            fresh = self._learn(list(new))
+            found = [fresh[p] if x is None else x for p, x in zip(parts[1:], found)]
         return self._ids(parts[0]) + b"".join(found) if all(found) else self._ids(text)
 
     def encode(self, text: str) -> bytes:
@@ -144,20 +169,24 @@ def id_width(tokenizer_path: str, end_id: int | None) -> int:
     return 2 if top <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, width: int, n_rows: int) -> bytes:
     """Dictionary bytes from a bounded sample spread over all rows by a hash of the id.
 
-    Too few samples to train on: the samples themselves become raw content.
+    Any text may be drawn; of one longer than DICT_SAMPLE_CHARS a stretch of that
+    length is read, from a place that the hash gives.  Too few samples to train
+    on: the samples themselves become raw content.
     """
     import zstandard
 
     # a share of the rows that holds a few times as many as are wanted, so what reaches the driver does not grow
-    share = min(1.0, 4 * DICT_SAMPLE_ROWS / max(1, docs.count()))
+    share = min(1.0, 4 * DICT_SAMPLE_ROWS / max(1, n_rows))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
+    begin = F.pmod(F.shiftright(F.col("h"), 20), F.greatest(F.length("t") - DICT_SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = (
-        docs.where(F.length(text_col).between(1, DICT_SAMPLE_CHARS))
+        docs.where(F.length(text_col) > 0)
         .select(order.alias("h"), F.col(text_col).alias("t"))
         .where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+        .select("h", F.substring("t", begin, F.lit(DICT_SAMPLE_CHARS)).alias("t"))
         .orderBy("h", "t")
         .limit(DICT_SAMPLE_ROWS)
         .collect()
@@ -229,8 +258,9 @@ def write_archive(
     """
     spark = docs.sparkSession
     width = id_width(tokenizer_path, end_id)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trained = train_dictionary(docs, id_col, text_col, tokenizer_path, width)
+    counted = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted["bytes"] // SHARD_BYTES))
+    trained = train_dictionary(docs, id_col, text_col, tokenizer_path, width, counted["n"])
     dict_hash = hashlib.sha256(trained).digest()
     spark.createDataFrame(
         [(dict_hash.hex(), bytearray(trained), width, end_id)],
@@ -248,14 +278,14 @@ def write_archive(
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(trained))
         end = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
         names = ["shard", "block", "first_id", "last_id", "n_docs", "n_tokens", "payload"]
-        held, size, block, before = [], 0, 0, 0
+        held, size, raw, block, before = [], 0, 0, 0, 0
 
         def flush():
-            nonlocal held, size, block
+            nonlocal held, size, raw, block
             known = [d[0] for d in held if d[0] is not None]
             row = [shard, block, min(known, default=None), max(known, default=None), len(held), sum(d[2] for d in held), pack_block(dict_hash, width, held)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            held, size, block = [], 0, block + 1
+            held, size, raw, block = [], 0, 0, block + 1
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         for b in batches:
@@ -269,8 +299,8 @@ def write_archive(
                     ids += end
                     frame = squeeze.compress(ids)
                     held.append((key, before, len(ids) // width, frame))
-                    before, size = before + len(ids) // width, size + len(frame) + 33
-                    if size >= BLOCK_BYTES:
+                    before, size, raw = before + len(ids) // width, size + len(frame) + 33, raw + len(ids)
+                    if size >= BLOCK_BYTES or raw >= BLOCK_RAW_BYTES:
                         yield flush()
         if held:
             yield flush()
@@ -285,13 +315,10 @@ def write_archive(
         .write.option("compression", "uncompressed")
         .parquet(f"{path}/blocks")
     )
-    # as many rows as shards, a number that the caller sets
-    totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
-    starts, at = [], 0
-    for r in totals:
-        starts.append((r["shard"], at))
-        at += r["n"]
-    spark.createDataFrame(starts, "shard int, start long").coalesce(1).write.parquet(f"{path}/shards")
+    # a number for each shard; their running sum is one task's work
+    totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")).write.parquet(f"{path}/shards")
 
 
 def _opened(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
@@ -306,26 +333,32 @@ def read_archive(spark: SparkSession, path: str, derive: dict[str, tuple[str, Ca
     the place of ids, which then never leave the task that reads them.
     """
     trained, blocks = _opened(spark, path)
-    starts = {r["shard"]: r["start"] for r in spark.read.parquet(f"{path}/shards").collect()}
+    placed = blocks.join(spark.read.parquet(f"{path}/shards"), "shard").select("start", "payload")
     derive = {"ids": ("binary", bytes)} if derive is None else derive
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        made = [(f, kinds[kind]) for kind, f in derive.values()]
+        types = [pa.int64(), pa.int64(), pa.int64(), *(kind for _, kind in made)]
+
+        def batch(rows: list[list]):
+            columns = list(zip(*rows)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "n_tokens", *derive])
+
         for b in batches:
-            for shard, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                got = list(unpack_block(payload.as_py(), trained))
-                columns = [
-                    pa.array([g[0] for g in got], pa.int64()),
-                    pa.array([starts[shard] + g[1] for g in got], pa.int64()),
-                    pa.array([len(g[2]) // 4 for g in got], pa.int64()),
-                    *(pa.array([f(g[2]) for g in got], kinds[kind]) for kind, f in derive.values()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", *derive])
+            for start, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                rows: list[list] = []
+                for key, before, ids in unpack_block(payload.as_py(), trained):
+                    rows.append([key, start + before, len(ids) // 4, *(f(ids) for f, _ in made)])
+                    if len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows = []
+                yield batch(rows)
 
     more = "".join(f", {name} {kind}" for name, (kind, _) in derive.items())
-    return blocks.select("shard", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long{more}")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long{more}")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
