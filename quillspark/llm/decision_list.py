@@ -1,9 +1,9 @@
 """Quality rules: word statistics of whole texts and a learned decision list over them.
 
-The list is learned by sequential covering: each rule grows as a conjunction of
-thresholds by information gain on part of the labelled rows, is pruned on the
-rest, and is dropped unless it stays precise there; the rows it covers go, and
-the next rule starts.  Rules come out as ordered Spark conditions, so judging a
+The list is learned by sequential covering: conjunctions of thresholds are grown
+by information gain on part of the labelled rows, from each feature in turn, and
+pruned on the rest, part after part; of those that stay precise there the widest
+becomes a rule, the rows it covers go, and the next rule starts.  Rules come out as ordered Spark conditions, so judging a
 text needs built-in functions alone.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,70 +135,96 @@ class Rule:
         return " and ".join(map(str, self.tests))
 
 
-def _candidates(rows: list[dict], bad: list[bool]) -> list[tuple[float, Test]]:
-    """Every cut between neighbouring values of different label, with its FOIL gain."""
-    total_bad, total = sum(bad), len(rows)
-    if not total_bad:
-        return []
-    base = math.log2(total_bad / total)
-    found = []
-    for f in FEATURES:
-        order = sorted(range(total), key=lambda k: rows[k][f])
-        seen = seen_bad = 0
-        for a, b in zip(order, order[1:]):
-            seen, seen_bad = seen + 1, seen_bad + bad[a]
-            low, high = rows[a][f], rows[b][f]
-            if low == high:
-                continue
-            cut = (low + high) / 2 if low < (low + high) / 2 < high else low
-            for above, n_bad, n in ((False, seen_bad, seen), (True, total_bad - seen_bad, total - seen)):
-                if n_bad:
-                    found.append((n_bad * (math.log2(n_bad / n) - base), Test(f, above, cut)))
-    return found
-
-
-def _grow(rows: list[dict], bad: list[bool], most: int) -> list[Test]:
-    tests: list[Test] = []
-    while any(bad) and not all(bad) and len(tests) < most:
-        gain, test = max(_candidates(rows, bad), key=lambda c: c[0], default=(0.0, None))
-        if gain <= 1e-9:
-            break
-        tests.append(test)
-        kept = [k for k, r in enumerate(rows) if test.holds(r)]
-        rows, bad = [rows[k] for k in kept], [bad[k] for k in kept]
-    return tests
+class _Table:
+    """Labelled rows by feature, each feature's order worked out once."""
 
+    def __init__(self, rows: list[dict]):
+        self.x = np.array([[float(r[f]) for f in FEATURES] for r in rows]).reshape(len(rows), len(FEATURES))
+        self.bad = np.array([bool(r["bad"]) for r in rows], bool)
+        self.order = np.argsort(self.x, axis=0, kind="stable")
 
-def _worth(tests: list[Test], rows: list[dict], bad: list[bool]) -> tuple[float, int]:
-    hit = [b for r, b in zip(rows, bad) if all(t.holds(r) for t in tests)]
-    p = sum(hit)
-    return (2 * p - len(hit)) / len(hit) if hit else -1.0, p
+    def holds(self, test: Test) -> np.ndarray:
+        values = self.x[:, FEATURES.index(test.feature)]
+        return values > test.threshold if test.above else values <= test.threshold
 
+    def covered(self, tests: tuple[Test, ...]) -> np.ndarray:
+        out = np.ones(len(self.bad), bool)
+        for t in tests:
+            out &= self.holds(t)
+        return out
 
-def learn_rules(rows: list[dict], max_rules: int = 12, max_tests: int = 3, precision: float = 0.9) -> list[Rule]:
+    def best_test(self, inside: np.ndarray, feature: int | None = None) -> Test | None:
+        """The cut between neighbouring values with the most FOIL gain over the rows ``inside``; None: no gain."""
+        total, total_bad = int(inside.sum()), int((inside & self.bad).sum())
+        if not total_bad or total_bad == total:
+            return None
+        base, best, found = math.log2(total_bad / total), 1e-9, None
+        for f in range(len(FEATURES)) if feature is None else (feature,):
+            order = self.order[:, f]
+            order = order[inside[order]]
+            values, bad = self.x[order, f], np.cumsum(self.bad[order])
+            at = np.flatnonzero(values[:-1] < values[1:])  # a cut after each of these places
+            for above in (False, True):
+                n_bad = total_bad - bad[at] if above else bad[at]
+                n = total - at - 1 if above else at + 1
+                gain = np.where(n_bad > 0, n_bad * (np.log2(np.maximum(n_bad, 1) / n) - base), 0.0)
+                if len(gain) and gain.max() > best:
+                    k = int(np.argmax(gain))
+                    low, high = float(values[at[k]]), float(values[at[k] + 1])
+                    middle = (low + high) / 2
+                    best, found = float(gain[k]), Test(FEATURES[f], above, middle if low < middle < high else low)
+        return found
+
+    def grown(self, inside: np.ndarray, first: int, most: int) -> list[Test]:
+        """A conjunction that begins with a test of feature ``first`` and goes on by gain."""
+        tests: list[Test] = []
+        while len(tests) < most and (test := self.best_test(inside, None if tests else first)):
+            tests.append(test)
+            inside = inside & self.holds(test)
+        return tests
+
+
+def _precision(hit: np.ndarray, bad: np.ndarray) -> float:
+    return float((hit & bad).sum() / hit.sum()) if hit.any() else 0.0
+
+
+def learn_rules(rows: list[dict], max_rules: int = 12, max_tests: int = 3, precision: float = 0.99, sure: float = 0.9, folds: int = 3) -> list[Rule]:
     """Ordered rules for rows whose ``bad`` is true; rows hold the features and ``bad``.
 
-    Two of three rows grow a rule, the third prunes it (their order decides).  A
-    rule stays if its precision on the pruning rows and on all rows not yet
-    covered is at least ``precision``; the first that does not ends the list.
-    No labelled rows, or rows of one label: no rules.
+    For each rule every feature begins a conjunction, which is grown on all but
+    one fold of the rows not yet covered and pruned on that fold (rows are dealt to
+    folds by their order), for each fold in turn.  A conjunction is a candidate if
+    it hits bad rows of its pruning fold, and its precision is at least
+    ``precision`` there, on all rows not yet covered and on all rows; and at least
+    ``sure`` if one good row more had been covered, so that a few rows by chance
+    make no rule.  The candidate that covers the most bad rows becomes the next rule (then the
+    most precise, then the shortest, then the first).  No candidate ends the
+    list.  No labelled rows, or rows of one label: no rules.
     """
-    left, rules = list(rows), []
-    while len(rules) < max_rules:
-        grow, prune = [r for k, r in enumerate(left) if k % 3], [r for k, r in enumerate(left) if k % 3 == 0]
-        tests = _grow(grow, [r["bad"] for r in grow], max_tests)
-        if not tests:
-            break
-        flags = [r["bad"] for r in prune]
-        best = max(range(1, len(tests) + 1), key=lambda k: (_worth(tests[:k], prune, flags)[0], -k))
-        rule = Rule(tuple(tests[:best]))
-        worth, hits = _worth(list(rule.tests), prune, flags)
-        covered = [r for r in left if rule.holds(r)]
-        good = sum(not r["bad"] for r in covered)
-        if not hits or (worth + 1) / 2 < precision or good > (1 - precision) * len(covered):
+    if not rows:
+        return []
+    table = _Table(rows)
+    fold, left, rules = np.arange(len(rows)) % folds, np.ones(len(rows), bool), []
+    while len(rules) < max_rules and (left & table.bad).any():
+        found: dict[tuple, tuple[Test, ...]] = {}
+        for out in range(folds):
+            prune = left & (fold == out)
+            for first in range(len(FEATURES)):
+                tests = table.grown(left & (fold != out), first, max_tests)
+                for n in range(1, len(tests) + 1):
+                    hit = table.covered(tuple(tests[:n]))
+                    n_bad, n_all = int((hit & left & table.bad).sum()), int((hit & left).sum())
+                    fit = _precision(hit & left, table.bad)
+                    if min(_precision(hit & prune, table.bad), fit, _precision(hit, table.bad)) < precision or n_bad < sure * (n_all + 1):
+                        continue
+                    found.setdefault((-n_bad, -fit, n, first, out), tuple(tests[:n]))
+                    break  # a longer one is no more precise than is asked for
+        if not found:
             break
-        rules.append(rule)
-        left = [r for r in left if not rule.holds(r)]
+        tests = found[min(found)]
+        # of two cuts on one side of a feature the later is the stricter
+        rules.append(Rule(tuple(t for k, t in enumerate(tests) if not any((o.feature, o.above) == (t.feature, t.above) for o in tests[k + 1 :]))))
+        left &= ~table.covered(rules[-1].tests)
     return rules
 
 

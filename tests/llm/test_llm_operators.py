@@ -3,6 +3,7 @@
 import array
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -145,6 +146,30 @@ def test_learned_rules(spark):
     wrong = sum(any(rule.holds(r) for rule in rules) != r["bad"] for r in rows)
     assert rules and wrong <= 30
     assert decision_list.learn_rules([]) == [] and decision_list.learn_rules([r | {"bad": False} for r in rows]) == []
+    # the best cut against every cut
+    few = decision_list._Table(rows[:60])
+    for f, name in enumerate(decision_list.FEATURES):
+        values, best = sorted({r[name] for r in rows[:60]}), 0.0
+        for low, high in itertools.pairwise(values):
+            for above in (False, True):
+                side = [r["bad"] for r in rows[:60] if (r[name] > (low + high) / 2) == above]
+                if any(side):
+                    best = max(best, sum(side) * (math.log2(sum(side) / len(side)) - math.log2(sum(r["bad"] for r in rows[:60]) / 60)))
+        cut = few.best_test(np.ones(60, bool), f)
+        side = [r["bad"] for r in rows[:60] if cut.holds(r)]
+        assert abs(sum(side) * (math.log2(sum(side) / len(side)) - math.log2(sum(r["bad"] for r in rows[:60]) / 60)) - best) < 1e-9
+    # few bad rows, and a first feature that misleads, still give rules that hold on unseen rows
+    for seed in range(5):
+        rng = random.Random(seed)
+        small = [{f: rng.random() for f in decision_list.FEATURES} for _ in range(400)]
+        for r in small:
+            kind = rng.random()
+            r["bad"] = kind < 0.14
+            if r["bad"]:
+                r["dup_line_rate" if kind < 0.07 else "digit_rate"] = 2 + rng.random()
+        found = decision_list.learn_rules(small[:300])
+        said = [any(rule.holds(r) for rule in found) for r in small[300:]]
+        assert len(found) == 2 and said == [r["bad"] for r in small[300:]]
     row = spark.createDataFrame([{"stats": {f: rows[0][f] for f in decision_list.FEATURES}}], "stats struct<" + ",".join(f"{f}: double" for f in decision_list.FEATURES) + ">")
     assert row.select(rules[0].column(F.col("stats")).alias("x")).first().x == rules[0].holds(rows[0])
 
