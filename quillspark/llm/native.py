@@ -95,6 +95,39 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(let(parts, steps), spans_of)).otherwise(none)
 
 
+def running_max(values: Column) -> Column:
+    """array<int>: the greatest of ``values`` (array<int>) up to each place."""
+
+    def run(b: Column) -> Column:
+        low = F.array().cast("array<int>")
+        return F.aggregate(
+            F.slice(values, b * FOLD + 1, FOLD), low, lambda acc, x: F.concat(acc, F.array(F.greatest(F.try_element_at(acc, F.lit(-1)), x)))
+        )
+
+    def whole(runs: Column) -> Column:
+        before = F.aggregate(
+            runs, F.array(F.lit(None).cast("int")), lambda acc, r: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.element_at(r, -1))))
+        )
+        return let(before, lambda top: F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: F.greatest(x, F.get(top, i))))))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int")), run)
+    return F.when(F.size(values) > 0, let(runs, whole)).otherwise(F.array().cast("array<int>"))
+
+
+def joined_spans(spans: Column) -> Column:
+    """array<struct<start, stop>>: ``spans``, in order of their starts, with those that overlap or touch made one."""
+
+    def joined(v: Column) -> Column:
+        begins = F.filter(v["spans"], lambda s, k: (k == 0) | (s["start"] > F.get(v["upto"], k - 1)))
+        ends = F.filter(v["upto"], lambda u, k: (k == F.size(v["upto"]) - 1) | (F.get(v["spans"], k + 1)["start"] > u))
+        return F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), e.alias("stop")))
+
+    def with_reach(x: Column) -> Column:
+        return let(F.struct(x.alias("spans"), running_max(F.transform(x, lambda s: s["stop"])).alias("upto")), joined)
+
+    return let(spans, with_reach)
+
+
 def cut_out(text: Column, spans: Column) -> Column:
     """array<string>: what stands under each of ``spans`` (struct<start, stop>, code points).
 

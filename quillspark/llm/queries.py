@@ -114,8 +114,8 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: spans of the fixed patterns, and those that the Markov models add."""
-    odds = secrets.train(secrets.labelled_samples(spark))
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), odds)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(secrets.labelled(docs)))
 
     def of(kind: str) -> Column:
         return F.filter("secrets", lambda s: s["kind"] == kind)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native import let, match_spans
+from .native import cut_out, joined_spans, let, match_spans
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,6 +25,10 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-
 #: Tokens shorter than this are no candidates.  Threshold: natural log odds per character.
 CANDIDATE_LEAST, THRESHOLD = 20, 0.6
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}"
+#: A stretch is widened to a separator that stands within so many characters.
+SEPARATORS, WIDEN = "=/_-", 256
+#: Documents that the models learn from at most (about), and the shortest ordinary runs taken from them.
+SAMPLE_ROWS, SAMPLE_LEAST = 4_000, 12
 #: Words that ordinary identifiers are made of.
 IDENTIFIER_WORDS = (
     "account active address agent array balance batch between buffer builder cache callback channel character client cluster "
@@ -81,6 +85,32 @@ def labelled_samples(spark: SparkSession, each: int = 4000) -> DataFrame:
     return random.unionByName(ordinary)
 
 
+def labelled_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(sample, is_random)`` from about ``rows`` documents, drawn by a hash of id and text.
+
+    What the fixed patterns find is labelled random (of an assignment its value),
+    every other run of SAMPLE_LEAST and more characters of the alphabet ordinary.
+    Null and empty texts give nothing.
+    """
+    share = min(1.0, rows / max(1, docs.count()))
+    text = F.col(text_col).cast("string")
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)) < int(share * (1 << 30))).select(text.alias("text"))
+    assign = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST)
+    other = F.concat(
+        F.regexp_extract_all("text", F.lit(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"), F.lit(0)),
+        F.regexp_extract_all("text", F.lit(rf"[0-9a-f]{{{HEX_LEAST},}}"), F.lit(0)),
+    )
+    rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}|[0-9a-f]{{{HEX_LEAST},}}", " ")
+    plain = F.regexp_extract_all(rest, F.lit(rf"[A-Za-z0-9+/_=-]{{{SAMPLE_LEAST},}}"), F.lit(0))
+    random = drawn.select(F.explode(F.array_distinct(F.concat(assign, other))).alias("sample"), F.lit(True).alias("is_random"))
+    return random.unionByName(drawn.select(F.explode(plain).alias("sample"), F.lit(False).alias("is_random")))
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What the models are trained on: samples by rule, and samples from the documents."""
+    return labelled_samples(docs.sparkSession).unionByName(labelled_texts(docs, id_col, text_col))
+
+
 def train(samples: DataFrame, sample_col: str = "sample", label_col: str = "is_random", smooth: float = 0.5) -> list[float]:
     """Log odds (random over ordinary) of each character after each, row-major; one more for all others.
 
@@ -114,63 +144,66 @@ def train(samples: DataFrame, sample_col: str = "sample", label_col: str = "is_r
     return odds
 
 
+def _table(odds: list[float]) -> Column:
+    return F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in odds) + "]"), "array<double>")
+
+
+def _codes(token: Column) -> Column:
+    """The place of each character in ALPHABET, from 1; 0 for others."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def _steps(codes: Column, table: Column) -> Column:
+    """The log odds of each character after the one before; of at least two characters."""
+    size = len(ALPHABET) + 1
+    return F.transform(
+        F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(table, F.get(codes, i) * size + F.get(codes, i + 1))
+    )
+
+
 def log_odds(token: Column, odds: list[float]) -> Column:
     """Mean log odds per step of ``token`` (one character or none: 0)."""
-    size = len(ALPHABET) + 1
-    table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in odds) + "]"), "array<double>")
 
     def score(codes: Column) -> Column:
-        steps = F.transform(
-            F.sequence(F.lit(0), F.size(codes) - 2),
-            lambda i: F.get(table, F.get(codes, i) * size + F.get(codes, i + 1)),
-        )
-        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.size(codes) - 1)
+        return F.aggregate(_steps(codes, _table(odds)), F.lit(0.0), lambda a, x: a + x) / (F.size(codes) - 1)
 
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.when(F.length(token) > 1, let(codes, score)).otherwise(F.lit(0.0))
+    return F.when(F.length(token) > 1, let(_codes(token), score)).otherwise(F.lit(0.0))
 
 
 def _windows(token: Column, odds: list[float], threshold: float) -> Column:
     """``array<struct<start, stop>>`` of the stretches of ``token`` that windows above ``threshold`` cover.
 
-    A window is CANDIDATE_LEAST characters; it is widened to the separators
-    (= / _ -) next to it, and what overlaps or touches is one stretch.  A part
-    that shares a window with a secret may so go with it; none of the secret stays.
+    A window is CANDIDATE_LEAST characters.  What overlaps or touches is one
+    stretch, which is widened to the separators (= / _ -) next to it, within WIDEN
+    characters.  A part that shares a window with a secret may so go with it.
     """
-    size, steps_each = len(ALPHABET) + 1, CANDIDATE_LEAST - 1
-    table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in odds) + "]"), "array<double>")
+    steps_each, table = CANDIDATE_LEAST - 1, _table(odds)
     none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
-    to_separator = lambda text: F.length(F.regexp_extract(text, "^[^=/_-]*", 0))
+    apart = [ALPHABET.index(c) + 1 for c in SEPARATORS]
+
+    def until_separator(codes: Column) -> Column:
+        """How many of ``codes`` stand before the first separator."""
+        places = F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda k: F.get(codes, k).isin(*apart))
+        return F.when(F.size(codes) > 0, F.coalesce(F.get(places, F.lit(0)), F.size(codes))).otherwise(0)
 
-    def stretches(steps: Column) -> Column:
+    def stretches(v: Column) -> Column:
         over = F.filter(
-            F.sequence(F.lit(1), F.size(steps) - steps_each + 1),
-            lambda i: F.aggregate(F.slice(steps, i, steps_each), F.lit(0.0), lambda a, x: a + x) / steps_each > threshold,
-        )
-        wide = F.transform(
-            over,
-            lambda i: F.struct(
-                (i - 1 - to_separator(F.reverse(F.substring(token, F.lit(1), i - 1)))).alias("start"),
-                (i - 1 + CANDIDATE_LEAST + to_separator(F.substring(token, i + CANDIDATE_LEAST, F.length(token)))).alias("stop"),
-            ),
+            F.sequence(F.lit(0), F.size(v["steps"]) - steps_each),
+            lambda i: F.aggregate(F.slice(v["steps"], i + 1, steps_each), F.lit(0.0), lambda a, x: a + x) / steps_each > threshold,
         )
+        raw = F.transform(over, lambda i: F.struct(i.alias("start"), (i + CANDIDATE_LEAST).alias("stop")))
 
-        def merge(acc: Column, w: Column) -> Column:
-            last = F.element_at(acc, -1)
-            longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], w["stop"]).alias("stop")))
-            return F.when(F.size(acc) == 0, F.array(w)).when(
-                w["start"] <= last["stop"], F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)
-            ).otherwise(F.concat(acc, F.array(w)))
+        def wide(s: Column) -> Column:
+            back = F.reverse(F.slice(v["codes"], F.greatest(s["start"] - WIDEN, F.lit(0)) + 1, F.least(s["start"], F.lit(WIDEN))))
+            ahead = F.slice(v["codes"], s["stop"] + 1, WIDEN)
+            return F.struct((s["start"] - until_separator(back)).alias("start"), (s["stop"] + until_separator(ahead)).alias("stop"))
 
-        return F.aggregate(F.array_distinct(wide), none, merge)
+        return joined_spans(F.transform(joined_spans(raw), wide))
 
-    def step_scores(codes: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(table, F.get(codes, i) * size + F.get(codes, i + 1))
-        )
+    def scored(codes: Column) -> Column:
+        return let(F.struct(codes.alias("codes"), _steps(codes, table).alias("steps")), stretches)
 
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.when(F.length(token) >= CANDIDATE_LEAST, let(let(codes, step_scores), stretches)).otherwise(none)
+    return F.when(F.length(token) >= CANDIDATE_LEAST, let(_codes(token), scored)).otherwise(none)
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -186,8 +219,10 @@ def find_secrets(docs: DataFrame, odds: list[float], text_col: str = "text", thr
     """``docs`` with ``secrets``: array<struct<start, order, stop, kind>>, by start and then kind.
 
     Offsets count code points from 0, stop exclusive.  ``markov`` spans are
-    tokens that overlap no span of the fixed patterns, or stretches of such a
-    token between separators where its whole is no secret.  Null and empty texts have
+    tokens that the models take for random, or stretches of a token between
+    separators where its whole is no secret.  The models judge every token of the
+    text, those within a span of the fixed patterns too: such a span then has a
+    witness, and one without is more likely a placeholder.  Null and empty texts have
     no spans.  Repeated rows get the same spans, an empty table stays empty; a
     column named secrets is replaced.
     """
@@ -200,20 +235,15 @@ def find_secrets(docs: DataFrame, odds: list[float], text_col: str = "text", thr
     hexes = match_spans(text, rf"[0-9a-f]{{{HEX_LEAST},}}")
     base = F.concat(_named(assign, "assign"), _named(access, "access"), _named(hexes, "hex"))
 
-    def with_models(b: Column) -> Column:
-        apart = lambda s: ~F.exists(b, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]))
-        candidates = F.filter(match_spans(text, CANDIDATE), apart)
-        whole = lambda s: F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-        inside = lambda s: F.transform(
-            _windows(s["match"], odds, threshold),
-            lambda w: F.struct((s["start"] + w["start"]).alias("start"), (s["start"] + w["stop"]).alias("stop")),
-        )
-        taken = F.flatten(
-            F.transform(candidates, lambda s: F.when(log_odds(s["match"], odds) > threshold, whole(s)).otherwise(inside(s)))
-        )
-        return F.sort_array(F.concat(b, _named(taken, "markov")))
-
-    return docs.withColumn("secrets", let(base, with_models))
+    whole = lambda s: F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    inside = lambda s: F.transform(
+        _windows(s["match"], odds, threshold),
+        lambda w: F.struct((s["start"] + w["start"]).alias("start"), (s["start"] + w["stop"]).alias("stop")),
+    )
+    taken = F.transform(
+        match_spans(text, CANDIDATE), lambda s: F.when(log_odds(s["match"], odds) > threshold, whole(s)).otherwise(inside(s))
+    )
+    return docs.withColumn("secrets", F.sort_array(F.concat(base, _named(F.flatten(taken), "markov"))))
 
 
 def digest_text(spans: Column) -> Column:
@@ -222,18 +252,16 @@ def digest_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``secrets`` in the text replaced by ``mark``; overlapping spans are one."""
+    """``docs`` with every span of ``secrets`` in the text replaced by ``mark``; spans that overlap or touch are one.
+
+    Texts without spans, null ones among them, stay as they are.
+    """
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
 
-    done = F.aggregate("secrets", start, cut)
-    new = let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size("secrets") > 0, new).otherwise(text))
+    def clean(spans: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["stop"]))
+        ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
+        between = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+        return F.array_join(cut_out(text, between), mark)
+
+    return docs.withColumn(text_col, F.when(F.size("secrets") > 0, let(joined_spans(F.col("secrets")), clean)).otherwise(text))

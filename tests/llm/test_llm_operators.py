@@ -430,17 +430,56 @@ def brute_spans(text):
     return sorted(out)
 
 
+def brute_markov(text, odds):
+    """Candidates judged whole, then by windows, in plain loops."""
+    size = len(secrets.ALPHABET) + 1
+
+    def mean(x):
+        codes = [secrets.ALPHABET.find(c) + 1 for c in x]
+        return sum(odds[a * size + b] for a, b in itertools.pairwise(codes)) / (len(codes) - 1)
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        x, hit = m[0], set()
+        if mean(x) > secrets.THRESHOLD:
+            out.append((m.start(), 3, m.end()))
+            continue
+        for i in range(len(x) - 19):
+            if mean(x[i : i + 20]) > secrets.THRESHOLD:
+                hit.add(i)
+        spans = []
+        for i in sorted(hit):
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + 20
+            else:
+                spans.append([i, i + 20])
+        wide = []
+        for a, b in spans:
+            while a > 0 and x[a - 1] not in "=/_-":
+                a -= 1
+            while b < len(x) and x[b] not in "=/_-":
+                b += 1
+            if wide and a <= wide[-1][1]:
+                wide[-1][1] = max(b, wide[-1][1])
+            else:
+                wide.append([a, b])
+        out += [(m.start() + a, 3, m.start() + b) for a, b in wide]
+    return sorted(out)
+
+
 def test_secrets(spark):
     odds = secrets.train(secrets.labelled_samples(spark))
     rng = random.Random(9)
     bits = ["token", "PASSWD", "api_key", "apikey", " = ", ":", '"', "abcdefgh", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é🙂", " ", "secret", "xyz"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    odd = ["9fK2", "Zq7X", "listing", "name", "=", "/", "_", "-", "reference", "8hQ", "0zR4v"]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(8, 40))) + " x" for _ in range(150)]
     texts.append("key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B or getUserAccountBalanceHistory and keitstlichschenverpf")
     found = {r.doc_id: [tuple(s)[:3] for s in r.secrets] for r in secrets.find_secrets(docs_of(spark, texts), odds).collect()}
     for k, t in enumerate(texts):
         assert [s for s in found[k] if s[1] < 3] == brute_spans(t), t
         more = [s for s in found[k] if s[1] == 3]
-        assert not any(a < e and s < b for s, _, e in more for a, _, b in brute_spans(t))
+        assert more == brute_markov(t, odds), t
     last = texts[-1]
     assert [last[a:b] for a, _, b in found[len(texts) - 1]] == ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
     clean = {r.doc_id: r.text for r in secrets.redact(secrets.find_secrets(docs_of(spark, texts), odds)).collect()}
@@ -448,6 +487,35 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs_of(spark, []), odds).count() == 0
 
 
+def test_models_learn_from_documents(spark):
+    """Models of one half of the documents find what the fixed patterns find in the other, and leave the rest alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang <> 'x'")
+    side = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
+    train, test = docs.where(side == 0), docs.where(side == 1)
+    odds = secrets.train(secrets.labelled(train))
+    samples = secrets.labelled_texts(test, rows=10**9).where(F.length("sample") >= secrets.CANDIDATE_LEAST).distinct()
+    judged = samples.select("is_random", (secrets.log_odds(F.col("sample"), odds) > secrets.THRESHOLD).alias("said"))
+    right = {r.is_random: (r.a, r.n) for r in judged.groupBy("is_random").agg(F.avg((F.col("said") == F.col("is_random")).cast("int")).alias("a"), F.count("*").alias("n")).collect()}
+    assert right[True][1] > 40 and right[True][0] > 0.95 and right[False][1] > 10 and right[False][0] > 0.99
+    found = secrets.find_secrets(test, odds).select(F.explode("secrets").alias("s"), "text").select("s.*", F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("said"))
+    kinds = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    assert kinds["markov"] > 0.95 * kinds["assign"]
+    assert secrets.labelled_texts(docs_of(spark, []), rows=5).count() == 0
+
+
+def test_long_texts_with_many_spans(spark):
+    """Work that grew with the square of the matches would not end here."""
+    rng = random.Random(13)
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    texts = [" ".join(f"token = {value()}" for _ in range(20_000)), "_".join(rng.choice(["reference", "9fK2Zq7X0aB5cD3eF1gH"]) for _ in range(4_000))]
+    odds = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.find_secrets(docs_of(spark, texts), odds)
+    got = {r.doc_id: r for r in secrets.redact(found).select("doc_id", "text", "secrets").collect()}
+    assert [tuple(s)[:3] for s in got[0].secrets if s[1] < 3] == brute_spans(texts[0])
+    assert got[0].text == "[SECRET] " * 19_999 + "[SECRET]"
+    assert "9fK2" not in got[1].text and "reference" in got[1].text
+
+
 def test_markov_models_tell_held_out_samples_apart(spark):
     samples = secrets.labelled_samples(spark, 1200).withColumn("h", F.pmod(F.xxhash64("sample"), F.lit(4)))
     odds = secrets.train(samples.where("h > 0"))
