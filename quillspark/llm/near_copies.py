@@ -1,42 +1,55 @@
-"""Near copies by the Jaccard similarity of word shingles: a MinHash index, then an exact check.
-
-A text's distinct shingles give ``BANDS * ROWS`` minima, cut into bands.  Two
-texts of similarity s share a band with chance 1 - (1 - s**ROWS)**BANDS, which
-at 0.8 is all but 5 in 100 million.  Whatever meets in a band is compared on the
-shingles themselves, so no link rests on an estimate.
-
-Members of a band are first held against one of them, then against another, and
-what that has not yet brought into one class is compared in all pairs across
-classes.  So a large group of near copies costs a few comparisons for each
-member; many texts that share bands without being near copies cost their pairs.
+"""Near copies by the Jaccard similarity of word shingles: SimHash classes first, completed to a stated similarity.
+
+SimHash over the shingles (:mod:`.simhash`, multi-index hashing) brings copies
+of a few changed bits together.  At a similarity of 0.8 fingerprints differ in
+about ten of 64 bits, far beyond what Hamming balls can enumerate; so what the
+index names is completed by a MinHash filter and a prefix-filtered join:
+
+1.  ``BANDS * ROWS`` minima of a text's distinct shingles, cut into bands.  Two
+    texts of similarity s share a band with chance 1 - (1 - s**ROWS)**BANDS,
+    which at 0.8 is all but 5 in 100 million.  Texts that share no band with
+    another are done.
+2.  The shingles of the others are ordered by how many of these texts hold them,
+    rarest first.  Two texts of similarity ``least`` or more share a shingle
+    within the first (1 - least) of either, at places from which enough is left
+    on both sides.  So a passage that many texts share, though half of each, does
+    not bring them together.
+3.  What meets at a shingle is compared with the text for which it stands
+    earliest, then with another, and only what is not yet in one class in pairs.
+
+Every link, whatever named it, is checked on the shingles themselves, told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, fingerprint_classes, fingerprint_of, shingle_digests
 from .store import discard, save
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 4
+#: Differing bits up to which SimHash fingerprints name candidates.
+RADIUS = 2
+#: How often what meets at a shingle is compared with one text of it, before the rest is compared in pairs.
+HUBS = 2
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> set[bytes]:
-    """The distinct ``width``-word shingles, words as in SimHash; of a shorter text all its words, of none nothing."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+def text_words(text: str | None) -> list[bytes]:
+    """Words as in SimHash: A-Z lower-cased, cut at \\x20 and \\x09-\\x0D."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def jaccard(a: set, b: set) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
+def distinct_tokens(digests: list[bytes]):
+    """The distinct digests as sorted unsigned numbers."""
+    import numpy as np
+
+    return np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64))
 
 
 def _multipliers():
@@ -47,22 +60,24 @@ def _multipliers():
     return (draw() | np.uint64(1))[:, None], draw()[:, None]
 
 
-def bands_of(shingles: set[bytes], multipliers) -> list[int]:
+def bands_of(tokens, multipliers) -> list[int]:
     """A signed 64-bit entry for each band; no shingles: no entries."""
     import numpy as np
-    from xxhash import xxh64_digest, xxh64_intdigest
+    from xxhash import xxh64_intdigest
 
-    if not shingles:
+    if not len(tokens):
         return []
     times, plus = multipliers
-    x = np.frombuffer(b"".join(xxh64_digest(s, SEED) for s in shingles), np.uint64)
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(x), 2048):
-        low = np.minimum(low, (x[None, k : k + 2048] * times + plus).min(axis=1))
+    for k in range(0, len(tokens), 2048):
+        low = np.minimum(low, (tokens[None, k : k + 2048] * times + plus).min(axis=1))
     raw = low.tobytes()
     size = ROWS * 8
-    entries = [xxh64_intdigest(raw[b * size : (b + 1) * size], SEED + b) for b in range(BANDS)]
-    return [e - (1 << 64) if e >> 63 else e for e in entries]
+    return [_signed(xxh64_intdigest(raw[b * size : (b + 1) * size], SEED + b)) for b in range(BANDS)]
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -72,79 +87,121 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def _marks(keyed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(key, id, node, size, bands)`` of every row; node is the 64-bit hash of the text's words in order."""
+    """``(key, id, node, size, fingerprint, bands)`` of every row; node is the 64-bit hash of the text's words in order."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         multipliers = _multipliers()
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for b in batches:
-            nodes, sizes, bands = [], [], []
+            rows = []
             for value in b.column(2):
-                text = value.as_py()
-                node = xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
-                shingles = shingle_set(text, width)
-                nodes.append(node - (1 << 64) if node >> 63 else node)
-                sizes.append(len(shingles))
-                bands.append(bands_of(shingles, multipliers))
+                words = text_words(value.as_py())
+                digests = shingle_digests(words, width)
+                tokens = distinct_tokens(digests)
+                rows.append((_signed(xxh64_intdigest(b" ".join(words), SEED)), len(tokens), _signed(fingerprint_of(digests)), bands_of(tokens, multipliers)))
+            columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["key", "id", "node", "size", "bands"],
+                [b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], names=["key", "id", "node", "size", "fingerprint", "bands"]
             )
 
     rows = keyed.select(F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key string, id {rows.schema['id'].dataType.simpleString()}, node long, size long, bands array<long>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key string, id {kind}, node long, size long, fingerprint long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose texts have a similarity of ``least`` or more."""
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
+    """``(node, tokens)`` of ``texts(node, text)``: the distinct shingles as signed hashes."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            keep = [
-                jaccard(shingle_set(x.as_py(), width), shingle_set(y.as_py(), width)) >= least for x, y in zip(b.column(2), b.column(3))
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            tokens = [distinct_tokens(shingle_digests(text_words(t.as_py()), width)).astype(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
+
+
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(u, v)``: every node of a SimHash class, and the smallest node of it."""
+    classes = fingerprint_classes(nodes.select("fingerprint").distinct(), radius)
+    named = nodes.select("node", "fingerprint").join(classes, "fingerprint").select("node", "root")
+    hubs = named.groupBy("root").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return named.join(hubs, "root").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+
+
+def band_mates(nodes: DataFrame) -> DataFrame:
+    """``node`` of those that share a band with another."""
+    entries = nodes.select(F.explode("bands").alias("entry"), "node")
+    shared = entries.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("entry")
+    return entries.join(shared, "entry", "left_semi").select("node").distinct()
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """``(token, node, size, pos)``: of each node's shingles, rarest first, those that a similar node must share one of.
+
+    Shingles of one node alone come first and are left out; they count in the places of the others.
+    """
+    rows = sets.select("node", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("token"))
+    held = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(held, "token")
+    each = Window.partitionBy("node")
+    place = F.row_number().over(each.orderBy("n", "token")) - 1 + F.col("size") - F.count("*").over(each)
+    return shared.select("token", "node", "size", place.alias("pos")).where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9))
+
 
-    one = texts.select(F.col("node").alias("u"), F.col("text").alias("x"))
-    other = texts.select(F.col("node").alias("v"), F.col("text").alias("y"))
-    return pairs.distinct().join(one, "u").join(other, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` that have a similarity of ``least`` or more."""
+    one = sets.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
+    other = sets.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
+    both = F.size(F.array_intersect("x", "y")) * (1 + least)
+    return pairs.distinct().join(one, "u").join(other, "v").where(both >= least * (F.size("x") + F.size("y")) - 1e-9).select("u", "v")
 
 
-def similar_links(marks: DataFrame, keyed: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+def similar_classes(nodes: DataFrame, keyed: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
     """``(node, root)`` of the nodes that have a near copy; root is the class's smallest node."""
-    entries = marks.select(F.explode("bands").alias("entry"), "node", "size")
-    shared = save(entries.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("entry"), "shared_bands")
-    met = save(entries.join(shared, "entry").distinct(), "met")
-    keys = save(marks.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("__key")), "met_keys")
-    texts = keyed.select("__key", F.col(text_col).cast("string").alias("text")).join(keys, "__key").dropDuplicates(["node"])
-    texts = save(texts.select("node", "text"), "met_texts")
-    # texts whose sizes differ by more can not be near copies
-    sizes = F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(least) - 1e-6
-    links, classed, roots = None, met.withColumn("root", F.col("node")), None
-    for turn in range(3):
-        if turn < 2:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "root")
-            hubs = classed.groupBy("entry").agg(F.min(order).alias("hub"))
-            hubs = hubs.select("entry", F.col("hub.node").alias("other"), F.col("hub.size").alias("other_size"), F.col("hub.root").alias("other_root"))
-            beside = classed.join(hubs, "entry").where("node <> other")
+    hinted = save(fingerprint_pairs(nodes), "fingerprint_pairs")
+    mates = band_mates(nodes).unionByName(hinted.select(F.col("u").alias("node"))).unionByName(hinted.select(F.col("v").alias("node")))
+    keys = nodes.join(mates.distinct(), "node", "left_semi").select(F.col("key").alias("__key"), "node")
+    # copies of a row are one before anything is moved
+    texts = keyed.groupBy("__key").agg(F.first(F.col(text_col).cast("string")).alias("text")).join(keys, "__key")
+    sets = save(_tokens(texts, width), "sets")
+    live = save(prefixes(sets, least).withColumn("root", F.col("node")), "prefixes")
+    # enough is left from both places on, and neither is too long for the other
+    a, c, i, j = F.col("size"), F.col("other_size"), F.col("pos"), F.col("other_pos")
+    fits = (F.least(a - i, c - j) >= (a + c) * (least / (1 + least)) - 1e-6) & (F.least(a, c) >= F.greatest(a, c) * least - 1e-6)
+    links, roots = [], None
+    for turn in range(HUBS + 1):
+        if turn < HUBS:
+            order = F.xxhash64("node", F.lit(turn))
+            hub = F.min(F.struct(*([F.col("pos").alias("first")] if turn == 0 else []), order.alias("order"), "node", "size", "pos", "root"))
+            met = live.groupBy("token").agg(hub.alias("hub")).select("token", *[F.col(f"hub.{n}").alias(f"other{m}") for n, m in (("node", ""), ("size", "_size"), ("pos", "_pos"), ("root", "_root"))])
+            pairs = live.join(met, "token").where("root <> other_root").where(fits)
         else:
-            beside = classed.join(
-                classed.select("entry", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root")), "entry"
-            ).where("node < other")
-        pairs = beside.where("root <> other_root").where(sizes).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-        found = save(_similar(pairs, texts, width, least), "similar")
-        links = found if links is None else links.unionByName(found)
-        roots = save(connected_components(links), "roots")
-        named = met.join(roots, "node", "left").select("entry", "node", "size", F.coalesce("root", "node").alias("root"))
-        split = named.groupBy("entry").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("entry")
-        if turn < 2:
-            classed = save(named.join(split, "entry"), "unsettled")
-    discard(texts)
-    return roots
+            other = live.select("token", *[F.col(n).alias(f"other{m}") for n, m in (("node", ""), ("size", "_size"), ("pos", "_pos"), ("root", "_root"))])
+            pairs = live.join(other, "token").where("root <> other_root and node < other").where(fits)
+        pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+        found = save(_verified(pairs.unionByName(hinted) if turn == 0 else pairs, sets, least), "links")
+        if found.isEmpty():
+            continue
+        links.append(found)
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        roots = connected_components(every)
+        if turn < HUBS:
+            named = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            split = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("token")
+            following = save(named.join(split, "token", "left_semi"), "unsettled")
+            discard(live)
+            live = following
+    for done in (sets, live, hinted):
+        discard(done)
+    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).where("false")
 
 
 def keep_first_of_similar(
@@ -156,10 +213,14 @@ def keep_first_of_similar(
     shingles is ``least`` or more; classes are closed over links.  Texts without a
     word are one class.  Rows are chosen as rows: a repeated or null id does not
     remove a row whose text has no near copy.  Exact copies of a row leave one.
+    An empty table stays empty.
     """
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
     marks = save(_marks(keyed, id_col, text_col, width), "marks")
-    roots = similar_links(marks, keyed, text_col, width, least)
+    same = [F.first(c).alias(c) for c in ("size", "fingerprint", "bands")]  # rows of one node agree in them
+    nodes = save(marks.groupBy("node").agg(F.min("key").alias("key"), *same), "nodes")
+    roots = similar_classes(nodes, keyed, text_col, width, least)
+    discard(nodes)
     classed = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")).select(F.col("m.key").alias("__key"))
     return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

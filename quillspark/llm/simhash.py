@@ -35,23 +35,34 @@ SEED = 42
 
 def text_fingerprint(text: str | None, width: int = 3) -> int:
     """Unsigned 64-bit SimHash of the text's ``width``-word shingles, repeats included."""
-    import numpy as np
-    from xxhash import xxh64_digest
-
     # bytes.lower() maps A-Z alone, bytes.split() cuts at \x20 and \x09-\x0D alone
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return fingerprint_of(shingle_digests(words, width))
+
+
+def shingle_digests(words: list[bytes], width: int) -> list[bytes]:
+    """XXH64 of every ``width``-word shingle, repeats included; fewer words are one shingle, none no shingle."""
+    from xxhash import xxh64_digest
+
     if not words:
-        return 0
+        return []
     flat = b" ".join(words)
     if len(words) <= width:
-        digests = [xxh64_digest(flat, SEED)]
-    else:
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0] + [e + 1 for e in ends[: len(words) - width]]
-        digests = [xxh64_digest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
+        return [xxh64_digest(flat, SEED)]
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0] + [e + 1 for e in ends[: len(words) - width]]
+    return [xxh64_digest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
+
+
+def fingerprint_of(digests: list[bytes]) -> int:
+    """The bits that are set in over half the digests; of none zero."""
+    import numpy as np
+
+    if not digests:
+        return 0
     counts, step = np.zeros(64, np.int64), 1 << 16
     for k in range(0, len(digests), step):
         block = np.frombuffer(b"".join(digests[k : k + step]), np.uint8).reshape(-1, 8)
@@ -157,10 +168,14 @@ def near_duplicate_classes(
     """
     own = save(fingerprints(docs, id_col, text_col, width), "fingerprints")
     first = save(own.groupBy("fingerprint").agg(F.min("id").alias("first_id")), "distinct")
-    roots = connected_components(fingerprint_links(first, radius))
-    classed = first.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
+    classed = first.join(fingerprint_classes(first.select("fingerprint"), radius), "fingerprint")
     names = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classed.join(names, "root").select("fingerprint", "component_id")
     return own.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+def fingerprint_classes(distinct: DataFrame, radius: int) -> DataFrame:
+    """``(fingerprint, root)`` of a table of distinct ``fingerprint``, classes closed over links of ``radius`` bits."""
+    roots = connected_components(fingerprint_links(distinct, radius))
+    joined = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return joined.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))

@@ -311,6 +311,14 @@ def test_pipeline_near_copies_against_brute_force(spark):
                 for _ in range(edits):
                     copy[rng.randrange(n)] = f"x{rng.randrange(5000)}"
                 texts.append(" ".join(copy))
+    # a crowd whose members are some of them near, others not, and a passage that makes half of unrelated texts
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    for k in range(60):
+        copy = list(base)
+        for _ in range(k // 6):
+            copy[rng.randrange(100)] = f"y{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+        texts.append(" ".join(base[:50] + [f"z{rng.randrange(50000)}" for _ in range(rng.randrange(50))]))
     rng.shuffle(texts)
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
     parent = list(range(len(texts)))
