@@ -26,7 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (5-word Jaccard similarity 0.8 or more) stays, the one with the smallest id."""
+    """One document of each near-duplicate class stays, the one with the smallest id.
+
+    Classes are those of the SimHash operator over 5-word shingles, completed to a
+    Jaccard similarity of 0.8 or more.
+    """
     return near_copies.keep_first_of_similar(docs, width=5, least=0.8)
 
 
