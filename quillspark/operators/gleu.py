@@ -1,60 +1,95 @@
-"""Sentence GLEU over n-gram arrays, in built-in functions."""
+"""Sentence GLEU: n-grams counted in one Arrow kernel, a row's outputs and references together."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Sequence
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, once
-
 ORDERS = 4
+Grams = list[Counter]
 
 
-_AGAIN = "\u0001"
-
-
-def _numbered(grams: Column) -> Column:
-    """Grams with repeats told apart, so that set operations count with multiplicity; first ones stay as they are."""
-
-    def mark(g: Column) -> Column:
-        earlier = lambda x, i: F.size(F.filter(F.slice(g, F.lit(1), i), lambda y: y == x))
-        marked = F.transform(g, lambda x, i: F.transform(F.array(earlier(x, i)), lambda k: F.when(k > 0, F.concat(x, F.lit(_AGAIN), k.cast("string"))).otherwise(x))[0])
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), g).otherwise(marked)
-
-    return once(grams, mark)
-
+def grams(units: Sequence, orders: int = ORDERS) -> Grams:
+    """Counts of the sequence's n-grams, for every order."""
+    return [Counter(zip(*(islice(units, k, None) for k in range(n)))) for n in range(1, orders + 1)]
 
-def gram_orders(units: Column, joiner: str = " ", orders: int = ORDERS) -> Column:
-    """struct<n, grams: array<array<string>>>: a sequence's length and its numbered n-grams, for :func:`gleu_of`."""
-    return F.struct(F.size(units).alias("n"), F.array(*[_numbered(ngrams(units, k, joiner)) for k in range(1, orders + 1)]).alias("grams"))
 
-
-def gleu_of(source: Column, hypothesis: Column, reference: Column) -> Column:
-    """GLEU of three :func:`gram_orders`, from 0 to 1; a count of zero is smoothed to one.
+def gleu_of(source: tuple[int, Grams], hypothesis: tuple[int, Grams], reference: tuple[int, Grams]) -> float:
+    """GLEU from 0 to 1 of three (length, grams); a count of zero is smoothed to one.
 
     Of each order: matches with the reference, less matches with grams that the
     source has and the reference has not.  Our reading of the published metric
     (2015, revised 2016), whose reference kernel is not at hand.
     """
+    total = 0.0
+    for n, (s, h, r) in enumerate(zip(source[1], hypothesis[1], reference[1])):
+        met = 0
+        for gram, count in h.items():
+            if gram in r:
+                met += min(count, r[gram])
+            elif gram in s:
+                met -= min(count, s[gram])
+        total += math.log(max(met, 1)) - math.log(max(hypothesis[0] - n, 1))
+    c, r = max(hypothesis[0], 1), max(reference[0], 1)
+    return math.exp(total / len(hypothesis[1]) + min(0.0, 1 - r / c))
+
+
+def _offsets(lists) -> list[int]:
+    return lists.offsets.to_pylist()
 
-    def log_ratio(g: Column) -> Column:
-        hit = F.size(F.array_intersect(g["h"], g["r"]))
-        kept = F.array_intersect(g["h"], g["s"])
-        miss = F.size(F.filter(kept, lambda x: ~F.array_contains(g["r"], F.substring_index(x, _AGAIN, 1))))
-        met = F.greatest(hit - miss, F.lit(1)).cast("double")
-        return F.log(met) - F.log(F.greatest(F.size(g["h"]), F.lit(1)).cast("double"))
 
-    zipped = F.arrays_zip(hypothesis["grams"].alias("h"), reference["grams"].alias("r"), source["grams"].alias("s"))
-    each = F.transform(zipped, lambda z: log_ratio({"h": z["h"], "r": z["r"], "s": z["s"]}))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(hypothesis["grams"])
-    c, r = F.greatest(hypothesis["n"], F.lit(1)), F.greatest(reference["n"], F.lit(1))
-    return F.exp(total + F.least(F.lit(0.0), 1 - r / c))
+def gleu_table(orders: int = ORDERS):
+    """(source, hypotheses, references) -> array<array<double>>: each hypothesis's GLEU with each reference.
 
+    Sequences are arrays of units.  Units are numbered once for a batch, equal
+    outputs of a row are scored once, and nothing leaves the row.  A null is an
+    error, empty lists give empty lists.
+    """
 
-def sentence_gleu(source: Column, hypothesis: Column, reference: Column, joiner: str = " ", orders: int = ORDERS) -> Column:
+    @F.arrow_udf("array<array<double>>")
+    def run(source, hypotheses, references):
+        import pyarrow as pa
+
+        if source.null_count or hypotheses.null_count or references.null_count:
+            raise ValueError("source, hypotheses and references must be present")
+        # all three as lists of sequences over one list of numbered units
+        sides = [source, hypotheses.values, references.values]
+        ids = pa.concat_arrays([s.values for s in sides]).dictionary_encode().indices.to_pylist()
+        sequences, shift = [], 0
+        for s in sides:
+            at = _offsets(s)
+            sequences.append((at, shift))
+            shift += len(s.values)
+
+        def counted(side: int, k: int) -> tuple[int, Grams]:
+            at, begin = sequences[side]
+            units = ids[begin + at[k] : begin + at[k + 1]]
+            return len(units), grams(units, orders)
+
+        of_h, of_r, out = _offsets(hypotheses), _offsets(references), []
+        for k in range(len(source)):
+            src, refs, done, row = counted(0, k), [counted(2, j) for j in range(of_r[k], of_r[k + 1])], {}, []
+            for j in range(of_h[k], of_h[k + 1]):
+                at, begin = sequences[1]
+                key = tuple(ids[begin + at[j] : begin + at[j + 1]])
+                if key not in done:
+                    hyp = (len(key), grams(key, orders))
+                    done[key] = [gleu_of(src, hyp, r) for r in refs]
+                row.append(done[key])
+            out.append(row)
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    return run
+
+
+def sentence_gleu(source: Column, hypothesis: Column, reference: Column, orders: int = ORDERS) -> Column:
     """GLEU of token or character arrays."""
-    grams = F.struct(*[gram_orders(c, joiner, orders).alias(n) for c, n in ((source, "s"), (hypothesis, "h"), (reference, "r"))])
-    return once(grams, lambda g: gleu_of(g["s"], g["h"], g["r"]))
+    return gleu_table(orders)(source, F.array(hypothesis), F.array(reference))[0][0]
 
 
 def select_best(scores: DataFrame, row: list[str], score: str = "gleu", ref_id: str = "ref_id") -> DataFrame:
@@ -67,3 +102,9 @@ def running_best(scores: DataFrame, row: list[str], score: str = "gleu", ref_id:
     """Each row's best score over its first k references, for every k."""
     upto = Window.partitionBy(*row).orderBy(ref_id).rowsBetween(Window.unboundedPreceding, 0)
     return scores.withColumn("best", F.max(score).over(upto)).withColumn("k", F.row_number().over(Window.partitionBy(*row).orderBy(ref_id)))
+
+
+def running_best_within(scores: Column) -> Column:
+    """The same within a row: the best of the first k of ``scores``, for every k."""
+    some = F.transform(F.sequence(F.lit(1), F.size(scores)), lambda k: F.array_max(F.slice(scores, F.lit(1), k)))
+    return F.when(F.size(scores) > 0, some).otherwise(F.array().cast("array<double>"))

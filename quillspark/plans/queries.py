@@ -239,15 +239,27 @@ def percentile_ci(spark, sf_dir):
     return _best(spark, sf_dir).groupBy("ds", "stage").agg(*[F.round(F.percentile("f", q), 9).alias(n) for n, q in names.items()])
 
 
+_EARLY, _LATE = ("tp0", "fp0", "fn0"), ("tp1", "fp1", "fn1")
+
+
+def _contrast_rows(spark, sf_dir) -> DataFrame:
+    """(ds, contrast, counts of the earlier and the later stage): a row for each sentence and pair of stages."""
+    refs = F.transform("refs", lambda r: F.struct(r["ref_id"].alias("ref_id"), score.keyed_edits(r["edits"]).alias("edits")))
+    scored = view(spark, sf_dir, "nested").withColumn("refs", refs).withColumn(
+        "by_stage", F.transform("outputs", lambda o: F.array_min(score.candidate_array(score.keyed_edits(o["edits"]), F.col("refs"))))
+    )
+    pairs = F.explode(F.array(*[F.struct(F.lit(f"{late}-{early}").alias("contrast"), F.lit(early).alias("e"), F.lit(late).alias("l")) for late, early in ((1, 0), (2, 1), (3, 2))])).alias("p")
+    rows = scored.select("ds", "by_stage", pairs)
+    return rows.select("ds", "p.contrast", *[F.get("by_stage", F.col(f"p.{side}"))[n].cast("double").alias(f"{n}{k}") for k, side in enumerate("el") for n in ("tp", "fp", "fn")])
+
+
 @query()
 def bootstrap_bca(spark, sf_dir):
-    best = _best(spark, sf_dir).where("stage in (0, 2)")
-    wide = best.groupBy("ds", "row_id").pivot("stage", [0, 2]).agg(*[F.first(c).alias(c) for c in ("tp", "fp", "fn")])
-    rows = wide.select("ds", "row_id", *[F.col(f"{s}_{c}").cast("double").alias(f"{c}{s}") for s in (0, 2) for c in ("tp", "fp", "fn")])
-    early, late = ("tp0", "fp0", "fn0"), ("tp2", "fp2", "fn2")
-    draws = stats.bootstrap(rows, ["ds"], [*early, *late], "row_id", replicates=1000)
-    out = stats.edit_contrast(draws, rows, ["ds"], early, late)
-    return out.withColumn("interpretation", stats.interpretation(*[F.col(f"bca{c}") for c in ("95_low", "95_high", "90_low", "90_high")]))
+    """Intervals of every contrast of neighbouring stages, with decisions; the smallest data set is descriptive only."""
+    rows = _contrast_rows(spark, sf_dir)
+    draws = stats.bootstrap(rows, ["ds", "contrast"], [*_EARLY, *_LATE])
+    out = stats.edit_contrast(draws, rows, ["ds", "contrast"], _EARLY, _LATE)
+    return stats.interval_records(out, F.col("contrast") != "1-0", F.col("n") >= 20)
 
 
 @query(_oracle(_BEST_SQL, """
@@ -272,19 +284,26 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kernel_f05_by_stage(spark, sf_dir):
-    """The flagship: align, type and link the edits of outputs and references, match them, select the best, pool."""
-    rows = view(spark, sf_dir, "gec")
-    side = lambda kind, k, c: F.struct(F.lit(kind).alias("side"), F.lit(k).alias("k"), F.col(c).alias("target"))
-    hyps, refs = [side("hyp", k, f"t{k}") for k in range(4)], F.filter(F.array(*[side("ref", k, f"r{k}") for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["k"])
-    pairs = rows.select("row_id", "ds", F.col("src").alias("source"), F.explode(F.concat(F.array(*hyps), refs)).alias("p"))
-    done = edits.convert_pairs(pairs.select("row_id", "ds", "source", "p.*"))
-    keyed = done.select("row_id", "ds", "side", "k", score.keyed_edits(F.col("edits")).alias("edits"))
-    # a sentence's few edit lists meet in its row once; matching and selection need no further shuffle
-    met = keyed.groupBy("row_id", "ds").agg(
-        F.collect_list(F.when(F.col("side") == "hyp", F.struct(F.col("k").alias("stage"), "edits"))).alias("hyps"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == "ref", F.struct(F.col("k").alias("ref_id"), "edits")))).alias("refs"),
-    )
-    best = met.select("row_id", "ds", F.explode("hyps").alias("h"), "refs").select("ds", F.col("h.stage").alias("stage"), F.array_min(score.candidate_array(F.col("h.edits"), F.col("refs"))).alias("c"))
+    """The flagship: align, type and link the edits of outputs and references, match them, select the best, pool.
+
+    A sentence's outputs and references are converted, matched and selected
+    within its row; only the counts of the selected ones are shuffled.
+    """
+    refs = F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), F.col(f"r{k}").alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])
+    targets = F.concat(F.array(*[F.col(f"t{k}") for k in range(4)]), F.transform("refs", lambda r: r["ref"]))
+    rows = view(spark, sf_dir, "gec").withColumn("refs", refs).select("ds", "src", "refs.ref_id", targets.alias("targets"))
+    done = rows.select("ds", "ref_id", edits.edits_within()("src", "targets").alias("edits"))
+
+    def best_of(v) -> F.Column:
+        keyed = F.transform(F.slice(v["keyed"], 5, F.size("ref_id")), lambda e, k: F.struct(F.get("ref_id", k).alias("ref_id"), e.alias("edits")))
+
+        def each(refs_: F.Column) -> F.Column:
+            return F.transform(F.slice(v["keyed"], 1, 4), lambda h: F.array_min(score.candidate_array(h, refs_)))
+
+        return tx.once(keyed, each)
+
+    whole = F.struct(F.transform("edits", score.keyed_edits).alias("keyed"))
+    best = done.select("ds", F.posexplode(tx.once(whole, best_of)).alias("stage", "c"))
     return score.pooled(best.select("ds", "stage", "c.tp", "c.fp", "c.fn"), ["ds", "stage"])
 
 
@@ -370,20 +389,16 @@ def _gleu_sql() -> str:
 
 
 def _gleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outs = F.array(*[F.struct(F.lit(k).alias("stage"), gleu.gram_orders(F.col(f"t{k}")).alias("hyp")) for k in range(4)])
-    refs = F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), gleu.gram_orders(F.col(f"r{k}")).alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])
-
-    def within(v) -> F.Column:
-        value = lambda o, r: F.struct(o["stage"].alias("stage"), r["ref_id"].alias("ref_id"), gleu.gleu_of(v["src"], o["hyp"], r["ref"]).alias("gleu"))
-        return F.flatten(F.transform(v["outs"], lambda o: F.transform(v["refs"], lambda r: value(o, r))))
-
-    whole = F.struct(gleu.gram_orders(F.col("src")).alias("src"), outs.alias("outs"), refs.alias("refs"))
-    return view(spark, sf_dir, "gec").select("row_id", "ds", F.explode(tx.once(whole, within)).alias("g")).select("row_id", "ds", "g.*")
+    """(ds, stage, scores): the GLEU of every output with each of its references, scored within the sentence's row."""
+    refs = F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), F.col(f"r{k}").alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])
+    rows = view(spark, sf_dir, "gec").select("ds", "src", F.array(*[F.col(f"t{k}") for k in range(4)]).alias("outs"), F.transform(refs, lambda r: r["ref"]).alias("refs"))
+    table = rows.select("ds", gleu.gleu_table()("src", "outs", "refs").alias("table"))
+    return table.select("ds", F.posexplode("table").alias("stage", "scores"))
 
 
 @query(_oracle(_gleu_sql(), "select ds, stage, round(100 * avg(round(gleu, 9)), 6) as gleu, count(*) as sentences from top group by ds, stage"))
 def word_gleu_macro(spark, sf_dir):
-    best = gleu.select_best(_gleu(spark, sf_dir), ["row_id", "stage"])
+    best = _gleu(spark, sf_dir).select("ds", "stage", F.array_max("scores").alias("gleu"))
     return best.groupBy("ds", "stage").agg(F.round(100 * F.avg(F.round("gleu", 9)), 6).alias("gleu"), F.count("*").alias("sentences"))
 
 
@@ -391,8 +406,8 @@ def word_gleu_macro(spark, sf_dir):
     , run as (select row_id, stage, row_number() over (partition by row_id, stage order by ref_id) as k, max(gleu) over (partition by row_id, stage order by ref_id) as best from valued)
     select stage, k::int as k, round(100 * avg(round(best, 9)), 6) as gleu, count(*) as sentences from run group by stage, k"""))
 def gleu_by_reference_count(spark, sf_dir):
-    run = gleu.running_best(_gleu(spark, sf_dir), ["row_id", "stage"])
-    return run.groupBy("stage", "k").agg(F.round(100 * F.avg(F.round("best", 9)), 6).alias("gleu"), F.count("*").alias("sentences"))
+    run = _gleu(spark, sf_dir).select("stage", F.posexplode(gleu.running_best_within(F.col("scores"))).alias("before", "best"))
+    return run.groupBy("stage", (F.col("before") + 1).alias("k")).agg(F.round(100 * F.avg(F.round("best", 9)), 6).alias("gleu"), F.count("*").alias("sentences"))
 
 
 # ---- text and segmentation ------------------------------------------------------------------------------------------------

@@ -137,7 +137,7 @@ def test_gleu(spark):
     chars = lambda s: list(s)
     rows = [("我爱饭。", "我爱吃饭。", 0, "我爱米饭。"), ("我爱饭。", "我爱吃饭。", 1, "我爱吃饭。"), ("甲", "甲", 0, "甲")]
     table = spark.createDataFrame([(k // 2, chars(s), chars(h), r, chars(x)) for k, (s, h, r, x) in enumerate(rows)], "id long, s array<string>, h array<string>, ref_id int, r array<string>")
-    scored_rows = table.withColumn("gleu", gleu.sentence_gleu(F.col("s"), F.col("h"), F.col("r"), joiner=""))
+    scored_rows = table.withColumn("gleu", gleu.sentence_gleu(F.col("s"), F.col("h"), F.col("r")))
     best = {r.id: (r.ref_id, round(r.gleu, 12)) for r in gleu.select_best(scored_rows, ["id"]).collect()}
     assert best == {0: (1, 1.0), 1: (0, 1.0)}
     assert [r.best for r in gleu.running_best(scored_rows.where("id = 0"), ["id"]).orderBy("k").collect()][1] == pytest.approx(1.0)
@@ -150,7 +150,7 @@ def test_statistics(spark):
     frame = pd.DataFrame({"ds": ["a"] * 60 + ["b"] * 60, "row": range(120)} | {c: rng.integers(0, 4, 120).astype(float) for c in ("tp0", "fp0", "fn0", "tp1", "fp1", "fn1")})
     rows = spark.createDataFrame(frame)
     early, late = ("tp0", "fp0", "fn0"), ("tp1", "fp1", "fn1")
-    draws = stats.bootstrap(rows, ["ds"], [*early, *late], "row", replicates=300, chunk=70)
+    draws = stats.bootstrap(rows, ["ds"], [*early, *late], replicates=300, chunk=70)
     assert draws.groupBy("ds").count().collect()[0]["count"] == 300 and draws.orderBy("ds", "draw").first() == draws.orderBy("ds", "draw").first()
     out = stats.edit_contrast(draws, rows, ["ds"], early, late).collect()
     assert len(out) == 2 and all(r.bca95_low <= r.bca90_low <= r.bca90_high <= r.bca95_high for r in out)
