@@ -94,6 +94,11 @@ def char_to_token(toks: Column) -> Column:
     return F.flatten(F.transform(toks, lambda t, i: F.array_repeat(i, F.length(t))))
 
 
+def same_units(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same units, each as often, in any order."""
+    return F.sort_array(a) == F.sort_array(b)
+
+
 def boundary_error(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
 

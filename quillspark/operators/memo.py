@@ -7,19 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import save
+from .audit import expect_none
 
-def split_hits(asked: DataFrame, memo: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
-    """(asked rows with the memo's columns, distinct asked keys that the memo lacks)."""
-    return asked.join(memo, key), asked.join(memo, key, "left_anti").dropDuplicates([key])
+def split_hits(asked: DataFrame, memo: DataFrame, key: str = "cache_key", distinct: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(asked rows with the memo's columns, asked rows that the memo lacks, one of each key or of each ``distinct``)."""
+    return asked.join(memo, key), asked.join(memo, key, "left_anti").dropDuplicates(distinct or [key])
 
 
 def convert(asked: DataFrame, memo: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
-    """(answers for all asked rows, the memo with what was computed).  ``compute`` keeps the key."""
+    """(answers for all asked rows, the memo with what was computed).  ``compute`` keeps the key.
+
+    What was computed is written before it is used, so nothing is computed twice,
+    and an asked key that is still without an answer is an error.
+    """
     _, misses = split_hits(asked, memo, key)
-    full = memo.unionByName(compute(misses).select(*memo.columns))
+    full = memo.unionByName(save(compute(misses).select(*memo.columns), "computed"))
+    expect_none(asked.join(full, key, "left_anti").select(key), "asked for, and not computed")
     return asked.join(full, key), full
 
 
+def append(memo_path: str, computed: DataFrame) -> None:
+    """Add rows to a stored memo table; readers keep the first row of a key."""
+    computed.write.mode("append").parquet(memo_path)
+
+
 def resumable(rows: DataFrame, done: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows that succeeded with the same input, rows still to do)."""
     ok = done.where("ok").select(*keys).distinct()
@@ -33,5 +45,6 @@ def latest_ok(journal: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ``order``."""
     first = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__nr", F.row_number().over(first)).where("__nr = 1").drop("__nr")

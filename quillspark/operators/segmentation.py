@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,12 @@ FIXED = (
 )
 
 
+def closest_within(source: Column, refs: Column) -> Column:
+    """struct<distance, ref_id, ref> of the nearest of ``refs`` (array<struct<ref_id, ref>>), the first among equals."""
+    near = F.transform(refs, lambda r: F.struct(F.levenshtein(normalize_text(source), normalize_text(r["ref"])).alias("distance"), r["ref_id"].alias("ref_id"), r["ref"].alias("ref")))
+    return F.array_min(near)
+
+
 def closest_reference(refs: DataFrame, keys: list[str], source: str = "source", ref: str = "ref", ref_id: str = "ref_id") -> DataFrame:
     """The reference at the least character distance, the first among equals."""
     distance = F.levenshtein(normalize_text(F.col(source)), normalize_text(F.col(ref)))

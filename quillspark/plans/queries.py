@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scores import f_beta, precision, recall
-from ..operators import analysis, audit, edits, gleu, iterate, memo, score, stats
+from ..operators import analysis, audit, edits, gleu, iterate, memo, score, segmentation, stats
 from ..sources import m2
 from .synth import duck, view
 
@@ -36,6 +36,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BLANKS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+
 # ---- edits and scores ------------------------------------------------------------------------------------------------
 
 _KEYS = ["row_id", "ds", "stage", "ref_id"]
@@ -340,14 +342,7 @@ def word_edits_by_character_votes(spark, sf_dir):
     moved as (select row_id, x, i, row_number() over (partition by row_id, x order by i) as n from (select row_id, e2[i + 1] as x, i from (select row_id, e2, unnest(range(0, len(e2))) as i from gec) q) y)
     select a.row_id, max(abs(a.i - b.i))::int as displacement from occ a join moved b on a.row_id = b.row_id and a.x = b.x and a.n = b.n group by a.row_id""")
 def permutation_displacement(spark, sf_dir):
-    gec = view(spark, sf_dir, "gec")
-
-    def numbered(col: str, place: str) -> DataFrame:
-        rows = gec.select("row_id", F.posexplode(col).alias(place, "x"))
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy("row_id", "x").orderBy(place)))
-
-    met = numbered("toks", "i").join(numbered("e2", "j"), ["row_id", "x", "n"])
-    return met.groupBy("row_id").agg(F.max(F.abs(F.col("i") - F.col("j"))).cast("int").alias("displacement"))
+    return view(spark, sf_dir, "gec").select("row_id", edits.max_displacement("toks", "e2").alias("displacement"))
 
 
 @query("select row_id, ref_id, ref_edit.i::int as s0, (ref_edit.i + 1)::int as s1, cat as kind, corr as correction from ref_edit")
@@ -412,9 +407,6 @@ def gleu_by_reference_count(spark, sf_dir):
 
 # ---- text and segmentation ------------------------------------------------------------------------------------------------
 
-_BLANKS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
-
-
 @query(f"select doc_id, md5(n) as digest, length(n) as n_chars from (select doc_id, regexp_replace(coalesce(text, ''), '{_BLANKS}', '', 'g') as n from documents)", synthetic=False)
 def normalize_text(spark, sf_dir):
     n = tx.normalize_text(F.coalesce("text", F.lit("")))
@@ -464,11 +456,7 @@ def splits_merges(spark, sf_dir):
 @query("""select ds, count(*) as n, count(*) filter (where s1 = s2) as at_2, count(*) filter (where s1 <> s2 and s2 = s3) as at_3, count(*) filter (where s2 <> s3) as open,
     count(*) filter (where s1 = s3 and s1 <> s2) as two_cycles from gec group by ds""")
 def convergence_counts(spark, sf_dir):
-    s1, s2, s3 = F.col("s1"), F.col("s2"), F.col("s3")
-    n = lambda c: F.count_if(c).cast("long")
-    return view(spark, sf_dir, "gec").groupBy("ds").agg(
-        F.count("*").alias("n"), n(s1 == s2).alias("at_2"), n((s1 != s2) & (s2 == s3)).alias("at_3"), n(s2 != s3).alias("open"), n((s1 == s3) & (s1 != s2)).alias("two_cycles")
-    )
+    return analysis.convergence(view(spark, sf_dir, "gec"), ["ds"], ["s1", "s2", "s3"])
 
 
 @query("""
@@ -524,17 +512,23 @@ def reference_distribution(spark, sf_dir):
     return analysis.reference_distribution(view(spark, sf_dir, "refs"))
 
 
-_ASCII = "regexp_replace({x}, '[^ -~]', '', 'g')"
+# DuckDB's levenshtein counts bytes, so its statement writes each accented letter of the tables as one
+# control character that no text holds.  The query itself counts characters of whole texts.
+_ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_ONE_BYTE = "".join(chr(c) for c in (*range(1, 9), *range(14, 28)))[: len(_ACCENTED)]
+
+
+def _single_bytes(tokens: str) -> str:
+    return f"translate(regexp_replace(array_to_string({tokens}, ' '), '{_BLANKS}', '', 'g'), '{_ACCENTED}', '{_ONE_BYTE}')"
 
 
-@query(f""", d as (select r.row_id, r.ref_id, levenshtein({_ASCII.format(x="array_to_string(g.src, ' ')")}, {_ASCII.format(x="array_to_string(r.ref, ' ')")})::int as distance from refs r join gec g on r.row_id = g.row_id)
+@query(f""", d as (select r.row_id, r.ref_id, levenshtein({_single_bytes("g.src")}, {_single_bytes("r.ref")})::int as distance from refs r join gec g on r.row_id = g.row_id)
     select row_id, ref_id, distance from (select *, row_number() over (partition by row_id order by distance, ref_id) as nr from d) where nr = 1""")
 def levenshtein_closest_reference(spark, sf_dir):
-    """Of ASCII characters alone, for the oracle counts bytes."""
-    plain = lambda c: F.regexp_replace(F.array_join(c, " "), "[^ -~]", "")
-    d = view(spark, sf_dir, "refs").join(view(spark, sf_dir, "gec").select("row_id", "src"), "row_id").select("row_id", "ref_id", F.levenshtein(plain("src"), plain("ref")).alias("distance"))
-    near = d.groupBy("row_id").agg(F.min(F.struct("distance", "ref_id")).alias("m"))
-    return near.select("row_id", "m.ref_id", "m.distance")
+    """The nearest of each sentence's references by character distance, chosen within its row."""
+    refs = F.filter(F.array(*[F.struct(F.lit(k).alias("ref_id"), F.array_join(f"r{k}", " ").alias("ref")) for k in range(3)]), lambda r: F.col("row_id") % 3 >= r["ref_id"])
+    near = segmentation.closest_within(F.array_join("src", " "), refs)
+    return view(spark, sf_dir, "gec").select("row_id", near.alias("m")).select("row_id", "m.ref_id", "m.distance")
 
 
 @query("""
@@ -547,7 +541,7 @@ def coverage_except(spark, sf_dir):
 
 @query("select count(*) filter (where list_sort(toks) = list_sort(e2)) as equal_rows, count(*) filter (where list_sort(toks) <> list_sort(e2)) as unequal_rows from gec")
 def multiset_equality(spark, sf_dir):
-    same = F.sort_array("toks") == F.sort_array("e2")
+    same = tx.same_units(F.col("toks"), F.col("e2"))
     return view(spark, sf_dir, "gec").agg(F.count_if(same).cast("long").alias("equal_rows"), F.count_if(~same).cast("long").alias("unequal_rows"))
 
 
@@ -559,7 +553,7 @@ def top1_case_selection(spark, sf_dir):
 @query("select doc_id, digest from (select doc_id, md5(text) as digest, row_number() over (partition by md5(text) order by doc_id) as nr from documents) where nr = 1", synthetic=False)
 def dedup_keep_first(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    return memo.first_of(rows, ["digest"], ["doc_id"]).select("digest", "doc_id")
 
 
 @query("""
@@ -568,9 +562,9 @@ def dedup_keep_first(spark, sf_dir):
 def memo_hits_misses(spark, sf_dir):
     asked = view(spark, sf_dir, "outputs").select("row_id", "stage", F.sha2(F.array_join("hyp", " ").cast("binary"), 256).alias("cache_key"))
     stored = asked.where("stage = 0").select("cache_key").distinct().withColumn("known", F.lit(True))
-    met = asked.join(stored, "cache_key", "left")
-    known = F.coalesce("known", F.lit(False))
-    return met.groupBy("stage").agg(F.count_if(known).cast("long").alias("hits"), F.count_distinct(F.when(~known, F.col("cache_key"))).alias("misses"))
+    hits, misses = memo.split_hits(asked, stored, distinct=["stage", "cache_key"])
+    counted = hits.select("stage", F.lit(1).alias("h"), F.lit(0).alias("m")).unionByName(misses.select("stage", F.lit(0).alias("h"), F.lit(1).alias("m")))
+    return counted.groupBy("stage").agg(F.sum("h").cast("long").alias("hits"), F.sum("m").cast("long").alias("misses"))
 
 
 @query("select lang, count(*) filter (where l.doc_id is not null) as done, count(*) filter (where l.doc_id is null) as todo from documents d left join (select distinct doc_id from labels where quality = 1) l on d.doc_id = l.doc_id group by lang", synthetic=False)
@@ -618,7 +612,12 @@ def cosine_threshold_match(spark, sf_dir):
     """The stated query set (every twentieth vector) against all, in blocks of a matrix product."""
     import numpy as np
 
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    def unit(x):
+        """Rows of length one; a zero vector is like nothing."""
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0")
     asked = rows.where("vec_id % 20 = 0")
 
     def blocks(size: int = 4096):
@@ -634,8 +633,7 @@ def cosine_threshold_match(spark, sf_dir):
     found = None
     for block in blocks():
         ids, labels = np.array([r.vec_id for r in block]), np.array([r.label for r in block])
-        q = np.array([r.v for r in block])
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        q = unit(np.array([r.v for r in block]))
 
         def run(frames, ids=ids, labels=labels, q=q):
             import pandas as pd
@@ -643,34 +641,43 @@ def cosine_threshold_match(spark, sf_dir):
             for f in frames:
                 if len(f):
                     x = np.array(f["v"].tolist())
-                    hit = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T > 0.3
+                    hit = unit(x) @ q.T > 0.3
                     hit &= f["vec_id"].to_numpy()[:, None] != ids[None, :]
                     same = hit & (f["label"].to_numpy()[:, None] == labels[None, :])
                     yield pd.DataFrame({"vec_id": ids, "similar": hit.sum(0), "same_label": same.sum(0)})
 
         part = rows.mapInPandas(run, "vec_id long, similar long, same_label long")
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, similar long, same_label long")
     return found.groupBy("vec_id").agg(F.sum("similar").alias("similar"), F.sum("same_label").alias("same_label")).where("similar > 0")
 
 
 @query("select stage, sum(case when stage = 0 then len(t0) when stage = 1 then len(t1) when stage = 2 then len(t2) else len(t3) end)::bigint as tokens from gec cross join (select unnest([0, 1, 2, 3]) as stage) s group by stage")
 def unpivot_long(spark, sf_dir):
     wide = view(spark, sf_dir, "gec").select("row_id", *[F.size(f"t{k}").alias(f"T{k}") for k in range(4)])
-    long = wide.unpivot("row_id", [f"T{k}" for k in range(4)], "name", "n")
+    long = analysis.long_form(wide, ["row_id"], [f"T{k}" for k in range(4)], "name", "n")
     return long.groupBy(F.substring("name", 2, 1).cast("int").alias("stage")).agg(F.sum("n").cast("long").alias("tokens"))
 
 
-@query("select row_id, 0::int as origin, len(toks)::int as destination, toks[1] as material from gec where row_id % 10 = 0 and len(toks) > 3")
+@query(""", rotated as (select row_id, toks, list_concat(toks[2:], toks[1:1]) as moved from gec),
+    clear as (select * from rotated where len(toks) > 3 and len(list_distinct(toks)) = len(toks))
+    select row_id, 0::int as origin, len(toks)::int as destination, toks[1] as material, true as plain from clear
+    union all select row_id, null, null, null, false from rotated t where not exists (select 1 from clear c where c.row_id = t.row_id)""")
 def link_movement_selfjoin(spark, sf_dir):
-    """Both sides of each long movement of a first token, joined by their link."""
-    rows = view(spark, sf_dir, "gec").where("row_id % 10 = 0 and size(toks) > 3").select("row_id", "toks")
-    blank = F.array().cast("array<string>")
-    to, first = F.size("toks"), F.slice("toks", 1, 1)
-    gone = F.struct(F.lit(0).alias("s0"), F.lit(1).alias("s1"), F.lit("U").alias("kind"), blank.alias("correction"), tx.origin_comment(F.lit("w1"), to).alias("comment"))
-    come = F.struct(to.alias("s0"), to.alias("s1"), F.lit("M").alias("kind"), first.alias("correction"), tx.destination_comment(F.lit("w1"), F.lit(0), F.lit(1)).alias("comment"))
-    typed = rows.select("row_id", F.explode(F.array(gone, come)).alias("e")).select("row_id", "e.*")
-    moves = edits.movements(typed, ["row_id"]).where("agrees")
-    return moves.select("row_id", F.col("origin_start").alias("origin"), "destination", F.col("material")[0].alias("material"))
+    """First tokens moved to the end, through the kernel: its links joined side to side.
+
+    Every sentence goes through the kernel and the join.  Where no token repeats
+    and the way is long enough, there is one movement and it is told; of the
+    others, whose links hang on which of equal tokens is meant, only that they are so.
+    """
+    rows = view(spark, sf_dir, "gec").select("row_id", F.col("toks").alias("source"), F.concat(F.expr("slice(toks, 2, greatest(size(toks) - 1, 0))"), F.slice("toks", 1, 1)).alias("target"))
+    done = edits.convert_pairs(rows)
+    moves = edits.movements(edits.explode_edits(done, ["row_id"]), ["row_id"]).where("agrees")
+    told = moves.groupBy("row_id").agg(F.min(F.struct(F.col("origin_start").alias("origin"), "destination", F.col("material")[0].alias("material"))).alias("m"))
+    plain = (F.size("source") > 3) & (F.size(F.array_distinct("source")) == F.size("source"))
+    met = rows.select("row_id", plain.alias("plain")).join(told, "row_id", "left")
+    return met.select("row_id", *[F.when(F.col("plain"), F.col(f"m.{c}")).alias(c) for c in ("origin", "destination", "material")], "plain")
 
 
 @query()

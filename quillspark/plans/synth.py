@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-RUN = 16
+RUN, RUNS = 16, 1 << 26
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -64,15 +64,8 @@ class Dialect:
         return f"({a}) // ({b})" if self.duck else f"cast(({a}) div ({b}) as int)"
 
     def run_id(self, doc: str, c: str) -> str:
-        """Number of the c-th run of a document.
-
-        From the 10,000th run on Spark counts in a range of its own, 2**26 to a
-        document (more than 2 GB of text hold), where DuckDB's statement runs
-        into the next document; up to there the two are the same.
-        """
-        if self.duck:
-            return f"{doc} * 10000 + {c}"
-        return f"case when {c} < 10000 then {doc} * 10000 + {c} else 4611686018427387904 + {doc} * 67108864 + {c} end"
+        """Number of the c-th run of a document: 2**26 numbers for each, more runs than a text of 2 GB has."""
+        return f"{doc} * {RUNS} + {c}"
 
     def upper(self, x: str) -> str:
         return f"translate({x}, '{_LOWER}', '{_UPPER}')"
@@ -164,9 +157,6 @@ def duck_tables() -> str:
     return _with_refs(DUCK, tables(DUCK))
 
 
-
-
-
 _STAGES = "inline(array(" + ", ".join(f"named_struct('stage', {k}, 'hyp', t{k}, 'eq', e{k})" for k in range(4)) + "))"
 _REFS = "inline(filter(array(" + ", ".join(f"named_struct('ref_id', {k}, 'ref', r{k}, 'eq', q{k})" for k in range(3)) + "), z -> row_id % 3 >= z.ref_id))"
 
