@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that training reads at most, by a hash of the id.
 MAX_LABELLED = 20_000
-ROUNDS, PAIR_ROUNDS, PAIRS, BINS, PAIR_BINS = 200, 60, 6, 48, 12
+ROUNDS, PAIR_ROUNDS, PAIRS, BINS, PAIR_BINS = 200, 100, 6, 48, 48
 RATE, RIDGE, LEAST_WEIGHT = 0.1, 1.0, 2.0
 FEATURES = (
     "log_words", "word_length", "longest_word", "distinct_words", "upper", "digit", "space", "symbol", "bang", "pipe",
