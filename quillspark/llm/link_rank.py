@@ -74,28 +74,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("node", F.col("weight").alias("rank"))
-    start = save(seeds.select("node", (F.col("weight") / total).alias("rank")), "seeds")
+    share = F.col("weight") / total
+    state = save(seeds.select("node", share.alias("step"), share.alias("rank")), "ranks")
     clean = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
     degree = clean.groupBy("src").agg(F.count("*").alias("degree"))
-    links = save(clean.join(degree, "src").select("src", "dst", (1 / F.col("degree")).alias("share")), "links")
-    if links.isEmpty():
-        return start
-    step = rank = start
-    for turn in range(rounds or MAX_ROUNDS):
-        carried = links.join(step.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"))
-        following = save(carried.agg((damping * F.sum(F.col("share") * F.col("rank"))).alias("rank")), "step")
-        summed = save(rank.unionByName(following).groupBy("node").agg(F.sum("rank").alias("rank")), "rank")
-        if turn:
-            discard(step)
-            discard(rank)
-        step, rank = following, summed
-        if (step.agg(F.sum("rank")).first()[0] or 0.0) < SETTLED:
+    links = save(clean.join(degree, "src").select("src", "dst", (damping / F.col("degree")).alias("share")), "links")
+    for _ in range(rounds or MAX_ROUNDS):
+        carried = links.join(state.select(F.col("node").alias("src"), "step"), "src").where("step > 0")
+        # what arrives is the next step, and is added to what has arrived before
+        met = carried.select(F.col("dst").alias("node"), (F.col("share") * F.col("step")).alias("step"), F.lit(0.0).alias("rank"))
+        met = met.unionByName(state.select("node", F.lit(0.0).alias("step"), "rank")).groupBy("node")
+        following = save(met.agg(F.sum("step").alias("step"), (F.sum("rank") + F.sum("step")).alias("rank")), "ranks")
+        discard(state)
+        state = following
+        if (state.agg(F.sum("step")).first()[0] or 0.0) < SETTLED:
             break
     else:
         if rounds is None:
             raise RuntimeError(f"ranks did not settle in {MAX_ROUNDS} rounds")
-    whole = rank.agg(F.sum("rank")).first()[0]
-    return rank.select("node", (F.col("rank") / whole).alias("rank"))
+    discard(links)
+    whole = state.agg(F.sum("rank")).first()[0]
+    return state.select("node", (F.col("rank") / whole).alias("rank"))
 
 
 def judge_pages(
