@@ -152,6 +152,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op3_quality_rules alone, which SQL can express."""
+    judged = decision_list.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return judged.select("doc_id", *[F.col("stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of each fixed pattern op9_secrets finds."""
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_kd_shards must hold whatever the tree: all rows and bytes, slots without gaps, shards of nearly equal bytes."""
+    rows = op8_kd_shards(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.count_distinct("slot").alias("slots"),
+        F.min("slot").alias("first"), F.max("slot").alias("last"),
+    )
+    gapless = (F.col("slots") == F.col("n")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    return shards.agg(
+        F.count("*").alias("shards"), F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"), F.every(gapless).alias("gapless"),
+        # a split may be off by the row that it falls on
+        (F.max("bytes") - F.min("bytes") <= 2 * F.max("longest") + 0.02 * F.avg("bytes")).alias("balanced"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
     "op2_decontaminate": op2_decontaminate,
@@ -164,10 +190,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_quality_gam": op10_quality_gam,
     "pipeline": pipeline,
+    "quality_base_counts": quality_base_counts,
+    "secret_base_counts": secret_base_counts,
+    "shard_balance": shard_balance,
 }
 
 _CONTROL = r"[<\[]\\*(/?s>|/?INST\]|image>|audio>|document>)"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rule_cases(value: int) -> str:
+    """CASE branches of the longest rule first: its text (1) or its verdict (0)."""
+    out = []
+    for rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        name, _, rest = rule[1].partition("/")
+        out.append(f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '/{rest}') then '{rule[value]}'")
+    return "case " + " ".join(out) + " end"
+
+
 #: DuckDB statements; queries without one are tested against brute force.
 ORACLES: dict[str, str] = {
     "op7_chat": f"""
@@ -189,4 +230,52 @@ ORACLES: dict[str, str] = {
             cast(length(lost) as bigint) as loss_chars, sha256(lost) as loss_sha256, cast(chars as bigint) as formatted_chars
         from met
     """,
+    # without links between hosts, as in the tables at hand, a rank is its seed's share
+    "op4_link_rank": f"""
+        with parted as (
+            select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+        ), placed as (
+            select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host,
+                regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path
+            from parted
+        ), ruled as (
+            select *, {_rule_cases(1)} as rule, {_rule_cases(0)} as said from placed
+        ), hosts as (
+            select host, count(*) filter (where said = 'allow') - count(*) filter (where said = 'block') as lead from ruled where host <> '' group by host
+        ), ranked as (
+            select host, case when lead > 0 then 1.0::double / (select count(*) from hosts where lead > 0) else 0.0 end as trust,
+                case when lead < 0 then 1.0::double / (select count(*) from hosts where lead < 0) else 0.0 end as distrust
+            from hosts
+        )
+        select page_id, r.host, path, rule, coalesce(said, case when coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) as verdict,
+            coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust
+        from ruled r left join ranked k on r.host = k.host
+    """,
+    "quality_base_counts": r"""
+        with worded as (
+            select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+            from documents
+        ), windows as (
+            select doc_id, i, array_to_string(w[i:i + 7], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from worded where len(w) >= 8) q
+        ), often as (
+            select doc_id, i from (select *, count(*) over (partition by doc_id, x) as n from windows) q where n > 1
+        ), covered as (
+            select doc_id, count(distinct place) as n from (select doc_id, unnest(range(i, i + 8)) as place from often) q group by doc_id
+        )
+        select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+            coalesce(c.n, 0)::bigint as n_repeat_words, (len(w) < 20 or 100 * coalesce(c.n, 0) > 30 * len(w)) as base_failed
+        from worded d left join covered c on d.doc_id = c.doc_id
+    """,
+    "secret_base_counts": r"""
+        select doc_id,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 8))::bigint as n_assign,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16))::bigint as n_access,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 32))::bigint as n_hex
+        from documents
+    """,
+    "shard_balance": """
+        select 40::bigint as shards, count(*) as documents, sum(octet_length(encode(coalesce(text, ''))) + 16)::bigint as bytes, true as gapless, true as balanced from documents
+    """,
 }
