@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import BOM, clean_cell, detokenize, ordered_unique
 from . import m2
+from .lines import numbered_lines
 
 
 def _prepared(rows: DataFrame, refs: Column) -> DataFrame:
@@ -45,8 +46,7 @@ def from_annotated_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one file with their number from 1."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("n", "value"))
-    return text.where("trim(value) <> ''").select((F.col("n") + 1).cast("long").alias("id"), "value")
+    return numbered_lines(spark, path).select(F.col("n").alias("id"), "value")
 
 
 def _json_values(spark: SparkSession, path: str, value: str, keyed: bool) -> DataFrame:

@@ -10,19 +10,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import BOM, tokens
+from ..functions.text import tokens
+from ..operators.edits import apply_edits
+from ..schema import EDITS
+from .lines import blocks as text_blocks
 
 IDENTITY = "没有错误"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """``(file, block, lines)``: blocks counted from 0; marks, CRLF and repeated blank lines are tolerated."""
-    text = F.replace(F.regexp_replace("value", r"\r\n?", "\n"), F.lit(BOM), F.lit(""))
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), text.alias("text"))
-    blocks = F.filter(F.split("text", r"\n(?:[^\S\n]*\n)+"), lambda b: F.trim(b) != "")
-    pieces = files.select("file", F.posexplode(blocks).alias("block", "body"))
-    lines = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")
-    return pieces.select("file", F.col("block").cast("long").alias("block"), lines.alias("lines"))
+    return text_blocks(spark, path)
+
+
+def violations(blocks: DataFrame, strict: bool = True) -> DataFrame:
+    """``(file, block, line, problem)`` of what makes a file no M2 file.
+
+    Loose reading lets lines pass that are neither S, A nor T lines, and blocks without annotation.
+    """
+    rows = blocks.select("file", "block", F.posexplode("lines").alias("pos", "line"))
+    known = F.col("line").rlike(r"^(S( |$)|A |T[0-9]+(-A[0-9]+)?\s)")
+    problem = (
+        F.when((F.col("pos") == 0) & ~F.col("line").rlike("^S( |$)"), "a block must begin with its source")
+        .when((F.col("pos") > 0) & F.col("line").rlike("^S( |$)"), "a second source")
+        .when(F.col("line").startswith("A ") & ~F.col("line").rlike(_EDIT), "not an M2 edit")
+    )
+    if strict:
+        problem = F.coalesce(problem, F.when(~known, "an unknown line"))
+    found = rows.select("file", "block", "line", problem.alias("problem")).where("problem is not null")
+    first = edits(blocks.join(found.select("file", "block").distinct(), ["file", "block"], "left_anti"))
+    long = sources(blocks).select("file", "block", F.size("source").alias("m"))
+    outside = first.where("kind <> 'noop'").join(long, ["file", "block"]).where("s0 < 0 or s1 < s0 or s1 > m")
+    return found.unionByName(outside.select("file", "block", F.concat_ws(" ", F.lit("A"), "s0", "s1").alias("line"), F.lit("a span outside the source").alias("problem")))
+
+
+def rebuilt_targets(blocks: DataFrame) -> DataFrame:
+    """``(file, block, annotator, target)``: every annotator's target, from the source and its edits."""
+    rows = edits(blocks)
+    none = F.array().cast(EDITS)
+    kept = F.when(F.col("kind") != "noop", F.struct("s0", "s1", F.lit(0).alias("t0"), F.lit(0).alias("t1"), "kind", "correction", F.lit("NONE").alias("comment")))
+    met = rows.groupBy("file", "block", "annotator").agg(F.sort_array(F.collect_list(F.struct("pos", kept.alias("e")))).alias("es"))
+    listed = F.coalesce(F.filter(F.transform("es", lambda x: x["e"]), lambda e: e.isNotNull()), none)
+    return met.join(sources(blocks), ["file", "block"]).select("file", "block", "annotator", apply_edits(F.col("source"), listed).alias("target"))
+
+
+def audit(blocks: DataFrame) -> DataFrame:
+    """``(metric, value)``: blocks, edits, noops, T lines, blocks by their number of annotators, and per label its edits and blocks."""
+    rows = edits(blocks)
+    n = lambda c: F.count_if(c).cast("long")
+    whole = rows.agg(n(F.col("kind") != "noop").alias("edits"), n(F.col("kind") == "noop").alias("noops"))
+    lines = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.size(F.filter("lines", lambda x: x.rlike("^T[0-9]+")))), F.lit(0)).cast("long").alias("targets"))
+    flat = whole.crossJoin(lines).unpivot([], ["blocks", "edits", "noops", "targets"], "metric", "value")  # one row each
+    by_annotators = rows.groupBy("file", "block").agg(F.count_distinct("annotator").alias("k")).groupBy("k").agg(F.count("*").alias("value"))
+    labels = rows.where("kind <> 'noop'").groupBy("kind").agg(F.count("*").alias("edits"), F.count_distinct("file", "block").alias("blocks"))
+    long = labels.unpivot("kind", ["edits", "blocks"], "of", "value").select(F.concat_ws(" ", "of", F.lit("with"), "kind").alias("metric"), "value")
+    return flat.unionByName(by_annotators.select(F.concat_ws(" ", F.lit("blocks with"), "k", F.lit("annotators")).alias("metric"), "value")).unionByName(long)
+
+
+def labels(lines: Column) -> Column:
+    """The edit types named in a block's lines, each once, in order; noop is none."""
+    said = F.transform(F.filter(lines, lambda x: x.startswith("A ")), lambda x: F.split_part(x, F.lit("|||"), F.lit(2)))
+    return F.array_sort(F.array_distinct(F.filter(said, lambda k: k != "noop")))
+
+
+def surface_pair(lines: Column) -> Column:
+    """struct<source, label, correction> of a block's first edit line; null without one."""
+    first = F.get(F.filter(lines, lambda x: x.startswith("A ") & ~x.contains("|||noop|||")), F.lit(0))
+    span = F.split(F.substring(F.split_part(first, F.lit("|||"), F.lit(1)), 3, 1 << 30), " ")
+    words = tokens(F.substring(F.get(F.filter(lines, lambda x: x.startswith("S ")), F.lit(0)), 3, 1 << 30))
+    left = F.slice(words, span[0].cast("int") + 1, span[1].cast("int") - span[0].cast("int"))
+    made = F.struct(F.array_join(left, " ").alias("source"), F.split_part(first, F.lit("|||"), F.lit(2)).alias("label"), F.split_part(first, F.lit("|||"), F.lit(3)).alias("correction"))
+    return F.when(first.isNotNull(), made)
 
 
 def sources(blocks: DataFrame) -> DataFrame:
