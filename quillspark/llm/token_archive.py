@@ -41,9 +41,9 @@ PART_CHARS = 500_000
 LEARN_TOGETHER = 200
 #: What a worker remembers of chunks' ids: at most so many bytes, then it starts anew; chunks of more characters than
 #: KEEP_CHARS are never remembered.  ENTRY_BYTES is what an entry takes besides its texts.
-CACHE_BYTES, KEEP_CHARS, ENTRY_BYTES = 256 << 20, 48, 150
+CACHE_BYTES, KEEP_CHARS, ENTRY_BYTES = 384 << 20, 48, 150
 #: Texts of which more than this share of chunks is new are encoded as they are: remembering them would not pay.
-NEW_SHARE = 0.4
+NEW_SHARE = 0.75
 #: So are texts with a new chunk of more characters than this, as scripts without spaces have them.
 LONG_CHUNK = 2_000
 
