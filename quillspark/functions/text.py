@@ -118,6 +118,22 @@ def coarse_label(label: Column) -> Column:
     return F.split_part(label, F.lit(":"), F.lit(1))
 
 
+def readable_edit(kind: Column, s0: Column, s1: Column, source: Column, correction: Column) -> Column:
+    """An edit in words."""
+    old, new = F.array_join(F.slice(source, s0 + 1, s1 - s0), " "), F.array_join(correction, " ")
+    return (
+        F.when(kind == "noop", "no change")
+        .when(kind == "M", F.concat(F.lit("insert "), new, F.lit(" at "), s0.cast("string")))
+        .when(kind == "U", F.concat(F.lit("delete "), old, F.lit(" at "), s0.cast("string")))
+        .otherwise(F.concat(F.when(kind == "W", "reorder ").otherwise(F.lit("replace ")), old, F.lit(" at "), s0.cast("string"), F.lit(" by "), new))
+    )
+
+
+def translated(text: Column, pairs: dict[str, str] | None = None) -> Column:
+    """A target normaliser: characters replaced one for one; without pairs the text as it is."""
+    return F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
+
+
 def reference_bucket(n: Column) -> Column:
     return F.when(n > 3, F.lit(">3")).otherwise(n.cast("string"))
 

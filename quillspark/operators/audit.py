@@ -18,7 +18,7 @@ def expect_none(violations: DataFrame, message: str) -> None:
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return rows.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def coverage(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
