@@ -8,6 +8,7 @@ logarithmic cost.  The word is done when the root holds no rank.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from array import array
@@ -208,47 +209,46 @@ class WordBpe:
         symbols.append(self.final[data[-1]])
         return PairTree(symbols, self.pairs).merged()
 
-    def word_many(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of many distinct pieces; those of equal length share an array."""
+    def word_many(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (little-endian u32) of many distinct pieces; those of equal length share an array."""
         import numpy as np
 
-        out: dict[str, list[int]] = {}
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            data = w.encode("utf-8", "surrogatepass")
-            if len(data) > BATCH_WORD_BYTES:
-                out[w] = self.word(w)
-            else:
-                by_length.setdefault(len(data), []).append((w, data))
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        lengths = list(map(len, data))
+        out: dict[str, bytes] = {}
         inner, final = np.array(self.inner, np.int64), np.array(self.final, np.int64)
-        for n, group in by_length.items():
-            for k in range(0, len(group), BATCH_ROWS):
-                part = group[k : k + BATCH_ROWS]
-                data = np.frombuffer(b"".join(d for _, d in part), np.uint8).reshape(-1, n)
-                symbols = inner[data]
-                symbols[:, -1] = final[data[:, -1]]
+        for n, group in itertools.groupby(sorted(range(len(words)), key=lengths.__getitem__), key=lengths.__getitem__):
+            if n > BATCH_WORD_BYTES:
+                out.update((words[k], array("I", self.word(words[k])).tobytes()) for k in group)
+                continue
+            while part := list(itertools.islice(group, BATCH_ROWS)):
+                raw = np.frombuffer(b"".join([data[k] for k in part]), np.uint8).reshape(-1, n)
+                symbols = inner[raw]
+                symbols[:, -1] = final[raw[:, -1]]
                 got = self.trees.merged(symbols)
                 left = got >= 0
-                ends = np.cumsum(left.sum(axis=1)).tolist()
-                flat, at = got[left].tolist(), 0
-                for (w, _), end in zip(part, ends):
-                    out[w] = flat[at:end]
-                    at = end
+                ends = (4 * np.cumsum(left.sum(axis=1))).tolist()
+                flat = got[left].astype("<u4").tobytes()
+                out.update(zip([words[k] for k in part], [flat[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
-    def _pieces(self, unit: str) -> list[str]:
-        """The words of what stands between white space, as the library's own pattern splits it."""
-        if self.strange.search(unit):
-            return [piece for piece, _ in self.splitter.pre_tokenize_str(unit)]
-        return self.words.findall(unit)
-
     def _encoded(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of distinct texts between white space, which are remembered within the bound."""
-        parted = [(u, self._pieces(u)) for u in units]
-        ids = self.word_many(list({w for _, ws in parted for w in ws}))
-        out = {u: array("I", ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]).tobytes() for u, ws in parted}
-        kept = {u: x for u, x in out.items() if len(u) <= KEEP_CHARS}
-        size = sum(2 * len(u) + len(x) + ENTRY_BYTES for u, x in kept.items())
+        """Ids of distinct texts between white space, which are remembered within the bound.
+
+        Letters alone are one word; others are split by the library's own pattern.
+        """
+        strange = self.strange.search("".join(units))
+        parted = {}
+        for u in units:
+            if strange and self.strange.search(u):
+                parted[u] = [piece for piece, _ in self.splitter.pre_tokenize_str(u)]
+            elif not u.isalpha():
+                parted[u] = self.words.findall(u)
+        ids = self.word_many(list({w for ws in parted.values() for w in ws}.union(u for u in units if u not in parted)))
+        out = {u: ids[u] for u in units if u not in parted} if parted else ids
+        out.update((u, b"".join([ids[w] for w in ws])) for u, ws in parted.items())
+        kept = out if max(map(len, out)) <= KEEP_CHARS else {u: x for u, x in out.items() if len(u) <= KEEP_CHARS}
+        size = 2 * sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
         if self.held + size > CACHE_BYTES:
             self._forget()
         if size <= CACHE_BYTES:
