@@ -76,6 +76,8 @@ class ChunkEncoder:
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, bytes] = {}
         self.held = 0
+        #: Whether the last texts were encoded whole because most of their chunks were new.
+        self.new_ones = False
 
     def _ids(self, text: str) -> bytes:
         import numpy as np
@@ -104,8 +106,8 @@ class ChunkEncoder:
                 out.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
             else:
                 out.update((c, self._ids(" " + c)) for c in some)
-        kept = {c: x for c, x in out.items() if len(c) <= KEEP_CHARS}
-        size = sum(2 * len(c) + len(x) + ENTRY_BYTES for c, x in kept.items())
+        kept = out if not out or max(map(len, out)) <= KEEP_CHARS else {c: x for c, x in out.items() if len(c) <= KEEP_CHARS}
+        size = 2 * sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
         if self.held + size > CACHE_BYTES:
             self.known, self.held = {}, 0
         if size <= CACHE_BYTES:
@@ -116,6 +118,11 @@ class ChunkEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each whole text its ids, little-endian."""
         get = self.known.get
+        if self.new_ones and len(texts) > 8:
+            # the last texts were mostly new: a few of these tell whether it goes on so
+            probe = [c for text in texts[::8] for c in text.split(" ")]
+            if len({c for c in probe if c not in self.known}) > NEW_SHARE * len(probe):
+                return self._whole(texts)
         met, unknown, chunks = [], set(), 0
         for text in texts:
             parts = text.split(" ")
@@ -125,7 +132,8 @@ class ChunkEncoder:
             chunks += len(parts)
             met.append((parts, found, open_))
         new = [c for c in unknown if c not in self.known]
-        if len(new) > NEW_SHARE * chunks or any(len(c) > LONG_CHUNK for c in new):
+        self.new_ones = len(new) > NEW_SHARE * chunks
+        if self.new_ones or (new and max(map(len, new)) > LONG_CHUNK):
             return self._whole(texts)
         fresh = self._learn(new) if new else {}
         out = []
