@@ -1,6 +1,12 @@
 import json
+import random
+import re
+import uuid
+from collections import Counter
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import correct, segmentation
 from quillspark.sources import datasets
@@ -63,11 +69,84 @@ def test_calls(spark):
                 raise RuntimeError("down")
             if "filter" in prompt:
                 raise correct.ContentFiltered
+            if "blank" in prompt and "只输出" not in prompt:
+                return "  "
+            if "mute" in prompt:
+                return ""
             return "修改后：" + prompt.rsplit("句子如下：", 1)[-1].upper()
 
         return say
 
-    prompts = spark.createDataFrame([(k, f"句子如下：{w}") for k, w in enumerate(("plain", "flaky", "down", "filter"))], "id long, prompt string")
+    prompts = spark.createDataFrame([(k, f"句子如下：{w}") for k, w in enumerate(("plain", "flaky", "down", "filter", "blank", "mute"))], "id long, prompt string")
     got = {r.id: r for r in correct.accepted(correct.call(prompts, make)).collect()}
     assert (got[0].correction, got[0].ok, got[0].attempts) == ("PLAIN", True, 1) and (got[1].correction, got[1].attempts) == ("FLAKY", 2)
+    assert got[4].ok and got[4].attempts == 2 and not got[5].ok and got[5].attempts == 3 and "format" in got[5].error
     assert not got[2].ok and "down" in got[2].error and (got[3].correction, got[3].fallback) == ("filter", True)
+
+
+def test_rounds_ask_once(spark, tmp_path):
+    from quillspark.operators import iterate
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    @F.pandas_udf("string")
+    def noisy(text: pd.Series, segmented: pd.Series) -> pd.Series:
+        for t in text:
+            (log / uuid.uuid4().hex).write_text(t)
+        return text.str.lower() + " " + str(uuid.uuid4().int % 7)
+
+    rows = spark.createDataFrame([(k, f"A B {k}") for k in range(6)], "id long, source string")
+    done = iterate.run_rounds(rows, noisy, lambda t: t, rounds=3)
+    first, again = done.orderBy("id").collect(), done.orderBy("id").collect()
+    assert first == again
+    asked = Counter(p.read_text() for p in log.iterdir())
+    for r in first:
+        assert asked[r.source] == {2: 1, 3: 2, None: 3}[r.converged_at]
+    attempts = iterate.repair(rows, lambda todo, k: todo.withColumn("k", F.lit(k)), lambda made: made.where("id % 3 <= k"), "id")
+    assert {r.id: r.k for r in attempts.collect()} == {k: k % 3 for k in range(6)}
+    assert iterate.repair(rows.limit(0), lambda todo, k: todo, lambda made: made, "id").count() == 0
+
+
+def test_blocks_do_not_hang_on_splits(spark, tmp_path):
+    from quillspark.sources import lines, m2
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(["\n", " \n", "S a b\n", "A 0 1|||R|||x|||REQUIRED|||NONE|||0\n", "T1 longer line of some words here\n"]) for _ in range(4000))
+    (tmp_path / "x.m2").write_text("\ufeff" + text)
+    want = [[x for x in b.split("\n") if x.strip()] for b in re.split(r"\n(?:[^\S\n]*\n)+", text.replace("\r", "\n"))]
+    want = [b for b in want if b]
+    for size in ("128m", "1k", "137"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = {r.block: r.lines for r in lines.blocks(spark, str(tmp_path / "x.m2")).collect()}
+            assert [got[k] for k in range(len(got))] == want
+            numbers = {r.n: r.value for r in lines.numbered_lines(spark, str(tmp_path / "x.m2"), keep_blank=True).collect()}
+            assert [numbers[k + 1] for k in range(len(numbers))] == text.split("\n")[: len(numbers)] and len(numbers) >= text.count("\n")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "bad.m2").write_text("S a b\nA 0 9|||R|||x|||REQUIRED|||NONE|||0\n\nA 0 1|||R|||x|||REQUIRED|||NONE|||0\n\nS a\nwhat\nA 0 1|||R\n")
+    blocks = m2.scan(spark, str(tmp_path / "bad.m2"))
+    assert sorted((r.block, r.problem) for r in m2.violations(blocks).collect()) == [(0, "a span outside the source"), (1, "a block must begin with its source"), (2, "an unknown line"), (2, "not an M2 edit")]
+    assert m2.violations(blocks, strict=False).count() == 3
+
+
+def test_tables_that_break_a_rule(spark, tmp_path):
+    from quillspark.operators import reports
+    from quillspark.sources import tables
+
+    (tmp_path / "p.tsv").write_text('\ufeffa "b\t"c ""d"" e"\n\nf\tg\th\n')
+    assert [(r.id, r.source_tokens, r.targets) for r in tables.read_pairs_tsv(spark, str(tmp_path / "p.tsv")).orderBy("id").collect()] == [("1", ["a", '"b'], [["c", '"d"', "e"]]), ("3", ["f"], [["g"], ["h"]])]
+    (tmp_path / "q.tsv").write_text("only one\n")
+    with pytest.raises(Exception, match="a source and a target are expected in line 1"):
+        tables.read_pairs_tsv(spark, str(tmp_path / "q.tsv")).collect()
+    (tmp_path / "m.json").write_text('{"name": "a", "run": "x"}\n{"name": "a", "run": "y"}\n')
+    with pytest.raises(ValueError, match="names repeat"):
+        tables.read_manifest(spark, str(tmp_path / "m.json"), "name string, run string")
+    assert reports.latex_escape("50% of a_b") == r"50\% of a\_b"
+    shown = reports.markdown_table(spark.createDataFrame([("x|y", 1.5, None)], "a string, b double, c string"))
+    assert shown.split("\n")[2] == "| x\\|y | 1.50 |  |"
+    with pytest.raises(ValueError, match="at most 1"):
+        reports.markdown_table(spark.range(3), limit=1)
