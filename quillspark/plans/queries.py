@@ -323,6 +323,41 @@ def apply_edits_roundtrip(spark, sf_dir):
     return done.groupBy("stage").agg(F.count("*").alias("pairs"), F.count_if(same).cast("long").alias("rebuilt"))
 
 
+@query("""
+    , clear as (select row_id, toks, (row_id % 6)::int as p from gec where len(list_distinct(toks)) = len(toks)),
+    spots as (select row_id, toks, p, unnest(range(0, len(toks)))::int as i from clear)
+    select row_id, 'drop' as way, 'U' as kind, i as s0, i + 1 as s1, '' as correction from spots where i % 7 = 3
+    union all select row_id, 'add', 'M', i - (i + 3) // 7, i - (i + 3) // 7, toks[i + 1] from spots where i % 7 = 3
+    union all select row_id, 'swap', 'W', p, p + 2, toks[p + 2] || ' ' || toks[p + 1] from clear where len(toks) > p + 1
+    union all select row_id, 'change', 'R', i, i + 1, 'X' || toks[i + 1] from spots where i % 7 = 3
+    union all select row_id, 'move', 'U-LD', 0, 1, '' from clear where len(toks) > 3
+    union all select row_id, 'move', 'M-LD', len(toks)::int, len(toks)::int, toks[1] from clear where len(toks) > 3
+    union all select row_id, 'move', 'W', 0, len(toks)::int, array_to_string(list_concat(toks[2:], toks[1:1]), ' ') from clear where len(toks) in (2, 3)
+    union all select row_id, 'unclear', null, null, null, null from gec where len(list_distinct(toks)) < len(toks)""")
+def kernel_edit_types(spark, sf_dir):
+    """Every type of edit through the kernel: tokens dropped, added, swapped, changed and moved far.
+
+    Sentences in which a token repeats go through it too; which of equal tokens an
+    edit is about is the kernel's to say, so of them it is told that they are so.
+    """
+    at = lambda i: i % 7 == 3
+    p = (F.col("row_id") % 6).cast("int")
+    fewer = F.filter("toks", lambda t, i: ~at(i))
+    swapped = F.concat(F.slice("toks", F.lit(1), p), F.reverse(F.slice("toks", p + 1, F.lit(2))), F.slice("toks", p + 3, F.size("toks") + 1))
+    changed = F.transform("toks", lambda t, i: F.when(at(i), F.concat(F.lit("X"), t)).otherwise(t))
+    moved = F.concat(F.slice("toks", F.lit(2), F.size("toks")), F.slice("toks", 1, 1))
+    ways = [("drop", F.col("toks"), fewer), ("add", fewer, F.col("toks")), ("swap", F.col("toks"), swapped), ("change", F.col("toks"), changed), ("move", F.col("toks"), moved)]
+    cases = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), a.alias("source"), b.alias("target")) for n, a, b in ways])).alias("c")
+    rows = view(spark, sf_dir, "gec").select("row_id", (F.size(F.array_distinct("toks")) == F.size("toks")).alias("clear"), cases).select("row_id", "clear", "c.*")
+    done = edits.convert_pairs(rows)
+    every = edits.explode_edits(done.where("clear"), ["row_id", "way"])
+    kind = F.when(F.col("comment") != "NONE", F.concat("kind", F.lit("-LD"))).otherwise(F.col("kind"))
+    told = every.select("row_id", "way", kind.alias("kind"), "s0", "s1", F.array_join("correction", " ").alias("correction"))
+    unclear = done.where("not clear").select("row_id").distinct()
+    none = lambda t: F.lit(None).cast(t)
+    return told.unionByName(unclear.select("row_id", F.lit("unclear").alias("way"), none("string").alias("kind"), none("int").alias("s0"), none("int").alias("s1"), none("string").alias("correction")))
+
+
 @query()
 def generic_token_edits(spark, sf_dir):
     """Edits of the generic policy with its long movements, by dataset."""
