@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decision_list, decontaminate, gam, kd_shards, link_rank, secrets, simhash, token_archive
-from .store import fresh_path
+from .store import fresh_path, spread
 
 
 def _tokenizer(name: str) -> str:
@@ -20,7 +20,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
