@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import spread
+
 RUN, RUNS = 16, 1 << 26
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -196,7 +198,7 @@ _VIEWS["nested"] = (
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables as a DataFrame over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return spark.sql(f"with {spark_tables()} {_VIEWS[name]}".replace("from documents", "from {docs}"), docs=docs)
 
 

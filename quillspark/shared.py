@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no ``spark.checkpoint.dir`` (tests on one machine).
 LOCAL_DEFAULT = "file:/tmp/checkpoints"
+SMALL = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,18 @@ def sweep(spark: SparkSession) -> None:
     delete(spark, _own_dir(spark))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over files, dealt to all cores if the files are too small for their reader to do so.
+
+    A reader can't part a row group, so a table of a few megabytes is one task's
+    work.  What is dealt is less than SMALL bytes for each core; a larger table is
+    left as its reader splits it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 0 < size < cores * SMALL else df
+
+
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
