@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); docs has the columns of ``documents``,
 and what a stage returns is written and read again as the next one's docs.
+Rows are judged as rows: ids may be null or shared.  Null texts are empty ones.
+Further columns are kept until the last stage.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +22,11 @@ def _tokenizer() -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from labels.quality."""
+    """Documents that the quality classifier rejects (score under 0.7) go; it learns from labels.quality.
+
+    Without labels, or with one label alone, every score is the same constant.
+    Empty and null texts have a score like others; repeated rows are judged alike.
+    """
     model = gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return gam.keep_good(docs, model)
 
@@ -35,12 +41,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents whose text holds a benchmark item go, within a fifth of the item's words as edits; empty ones stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay, and n_chars follows the text."""
+    """Secrets are replaced by a mark; all documents stay, and n_chars follows the text where it changes.
+
+    Null and empty texts stay as they are; without documents the models rest on samples made by rule.
+    """
     found = secrets.find_secrets(docs, secrets.train(secrets.labelled(docs)))
     clean = secrets.redact(found)
     n_chars = F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -48,7 +57,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left, and the text that they decode to."""
+    """Ids of every document that is left, and the text that they decode to; null texts are empty and have no ids."""
     return bpe.encode_texts(docs, _tokenizer(), carry=("lang", "source"), as_array=True)
 
 
