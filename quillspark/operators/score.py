@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,16 +87,12 @@ def corpus_greedy(scored: DataFrame, by: list[str], row: str, order: list[str],
         return round((1 + beta * beta) * p * r / (beta * beta * p + r), 4) if p + r else 0.0
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        total = (0, 0, 0)
         frame = frame.sort_values([row, *order], kind="stable")
-        for _, group in frame.groupby(row, sort=True):
-            best = None
-            for c in group[["tp", "fp", "fn"]].itertuples(index=False):
-                now = tuple(int(a + b) for a, b in zip(total, c))
-                rank = (value(*now), now[0], -now[1], -now[2])
-                if best is None or rank > best[0]:
-                    best = (rank, now)
-            total = best[1]
+        total = (0, 0, 0)
+        for _, candidates in itertools.groupby(zip(frame[row], frame["tp"], frame["fp"], frame["fn"]), key=operator.itemgetter(0)):
+            sums = [(total[0] + int(tp), total[1] + int(fp), total[2] + int(fn)) for _, tp, fp, fn in candidates]
+            # of equal ones the first
+            total = max(sums, key=lambda t: (value(*t), t[0], -t[1], -t[2]))
         return pd.DataFrame([[*frame[by].iloc[0], *total]], columns=[*by, "tp", "fp", "fn"])
 
     kinds = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in by)
