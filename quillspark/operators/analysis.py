@@ -104,7 +104,8 @@ def contrasts(scores: DataFrame, key: list[str], stage: str, value: str, pairs:
 def convergence(rows: DataFrame, by: list[str], rounds: list[str]) -> DataFrame:
     """How many rows settle at each round, how many stay open, and how many return to where they were two rounds before.
 
-    A row settles at the first round that equals the one before.
+    A row settles at the first round that equals the one before; it is open if the
+    last round differs from the one before.
     """
     settled = F.lit(None).cast("int")
     for k in range(len(rounds) - 1, 0, -1):
@@ -112,9 +113,10 @@ def convergence(rows: DataFrame, by: list[str], rounds: list[str]) -> DataFrame:
     cycles = F.lit(False)
     for k in range(2, len(rounds)):
         cycles = cycles | ((F.col(rounds[k]) == F.col(rounds[k - 2])) & (F.col(rounds[k]) != F.col(rounds[k - 1])))
-    marked = rows.select(*by, settled.alias("__at"), cycles.alias("__cycle"))
+    open_ = F.col(rounds[-1]) != F.col(rounds[-2])
+    marked = rows.select(*by, settled.alias("__at"), open_.alias("__open"), cycles.alias("__cycle"))
     at = [_n(F.col("__at") == k).alias(f"at_{k}") for k in range(2, len(rounds) + 1)]
-    return marked.groupBy(*by).agg(F.count("*").alias("n"), *at, _n(F.col("__at").isNull()).alias("open"), _n(F.col("__cycle")).alias("two_cycles"))
+    return marked.groupBy(*by).agg(F.count("*").alias("n"), *at, _n(F.col("__open")).alias("open"), _n(F.col("__cycle")).alias("two_cycles"))
 
 
 def long_form(wide: DataFrame, keys: list[str], columns: list[str], name: str = "name", value: str = "value") -> DataFrame:

@@ -150,3 +150,12 @@ def test_tables_that_break_a_rule(spark, tmp_path):
     assert shown.split("\n")[2] == "| x\\|y | 1.50 |  |"
     with pytest.raises(ValueError, match="at most 1"):
         reports.markdown_table(spark.range(3), limit=1)
+
+
+def test_run_tables_keep_quotes(spark, tmp_path):
+    from quillspark.sources import tables
+
+    cells = ["1", 'say "x"', 'a\\b "', '"q"', "t", "", "t1", "s", "t2", "s", "t3"][:10]
+    (tmp_path / "run.tsv").write_text("id\tsource\ttarget\tS1\tT0\tT1\tS2\tT2\tS3\tT3\n" + "\t".join('"' + c.replace('"', '""') + '"' for c in cells) + "\n")
+    row = tables.read_run(spark, str(tmp_path / "run.tsv")).first()
+    assert (row.id, row.source, row.target, row.S1) == (1, 'say "x"', 'a\\b "', '"q"')
