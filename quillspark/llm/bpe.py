@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import give_back
+
 #: What a worker remembers of the ids of texts between white space: at most so many bytes, then it starts anew;
 #: texts of more characters than KEEP_CHARS are never remembered.  ENTRY_BYTES is what an entry takes besides its texts.
 CACHE_BYTES, KEEP_CHARS, ENTRY_BYTES = 96 << 20, 64, 180
@@ -349,6 +351,10 @@ def encode_texts(
                 decoded = pa.array([g[1] for g in got], pa.binary()).cast(pa.string())
                 carried = [c.slice(begin, at - begin) for c in b.columns[:last]]
                 yield pa.RecordBatch.from_arrays([*carried, pa.array(counts, pa.int64()), ids, decoded], names=[*kept, "n_tokens", "ids", "decoded"])
+                del texts, got, ids, decoded, carried
+                give_back()
+            del b
+        give_back()
 
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
     return rows.mapInArrow(run, f"{kinds}n_tokens long, ids {'array<int>' if as_array else 'binary'}, decoded string")

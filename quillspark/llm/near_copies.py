@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import SEED, fingerprint_classes, fingerprint_of, shingle_digests
-from .store import discard, save
+from .store import discard, give_back, save
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -106,6 +106,8 @@ def _marks(keyed: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], names=["key", "id", "node", "size", "fingerprint", "bands"]
             )
+            del b, rows, columns
+            give_back()
 
     rows = keyed.select(F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -122,6 +124,8 @@ def _tokens(texts: DataFrame, width: int) -> DataFrame:
         for b in batches:
             tokens = [distinct_tokens(shingle_digests(text_words(t.as_py()), width)).astype(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+            del b, tokens
+            give_back()
 
     return texts.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
 

@@ -368,6 +368,24 @@ def test_bpe_against_the_library(spark):
     assert bpe.encode_texts(docs_of(spark, []), place).count() == 0
 
 
+def test_workers_hold_little_unused_after_a_task(spark):
+    def held(batches):  # MB that a worker could return, after a task of this query
+        import pathlib
+
+        import pyarrow as pa
+
+        mb = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+        for b in batches:
+            before = mb()
+            store.give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([before - mb()])], names=["mb"])
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda k: F.concat(F.lit("word"), (F.col("id") * 7 + k) % 3000)))
+    docs = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")).agg(F.sum("n_tokens")).collect()
+    assert max(r.mb for r in spark.range(0, 4, 1, 4).select("id").mapInArrow(held, "mb double").collect()) < 16
+
+
 def test_both_segment_trees_merge_alike():
     own = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(4)
