@@ -39,3 +39,16 @@ def test_best_of_prefers_in_order():
     one = lambda *x: (np.array([x[0]], bool), *(np.array([v]) for v in x[1:]))
     assert [int(x[0]) for x in score.best_of([one(1, 0, 0, 3), one(1, 0, 0, 0)])][:4] == [1, 0, 0, 0]
     assert int(score.best_of([one(1, 2, 1, 1), one(1, 2, 1, 1)])[0][0]) == 0 and int(score.best_of([one(0, 9, 0, 0), one(1, 0, 9, 9)])[0][0]) == 1
+
+
+def test_gleu_of_a_batch_is_that_of_its_rows(spark):
+    import random
+
+    from quillspark.operators import gleu
+    from quillspark.operators.units import Sequences
+
+    rng = random.Random(3)
+    sides = [[[rng.randrange(5) for _ in range(rng.randrange(0, 12))] for _ in range(3000)] for _ in range(3)]
+    padded = [Sequences(np.array([r + [-1] * (12 - len(r)) for r in side]), np.array([len(r) for r in side])) for side in sides]
+    want = [gleu.gleu_of(*[(len(r), gleu.grams(r)) for r in rows]) for rows in zip(*sides)]
+    assert np.abs(gleu.gleu_of_batch(*padded) - want).max() < 1e-12
