@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import save
@@ -15,6 +15,17 @@ def split_hits(asked: DataFrame, memo: DataFrame, key: str = "cache_key", distin
     return asked.join(memo, key), asked.join(memo, key, "left_anti").dropDuplicates(distinct or [key])
 
 
+def hits_and_misses(asked: DataFrame, by: str, stores: Column, key: str = "cache_key") -> DataFrame:
+    """``(by, hits, misses)``: asked rows whose key is among those of the rows that ``stores`` holds for, and distinct other keys.
+
+    Each key of a group of ``by`` is shuffled once, with its number of rows.
+    """
+    each = asked.groupBy(key, by).agg(F.count("*").alias("n"), F.bool_or(stores).alias("stored"))
+    met = each.groupBy(key).agg(F.bool_or("stored").alias("known"), F.collect_list(F.struct(by, "n")).alias("asked"))
+    rows = met.select("known", F.explode("asked").alias("a")).select("known", f"a.{by}", "a.n")
+    return rows.groupBy(by).agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("hits"), F.count_if(~F.col("known")).cast("long").alias("misses"))
+
+
 def convert(asked: DataFrame, memo: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """(answers for all asked rows, the memo with what was computed).  ``compute`` keeps the key.
 

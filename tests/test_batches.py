@@ -52,3 +52,12 @@ def test_gleu_of_a_batch_is_that_of_its_rows(spark):
     padded = [Sequences(np.array([r + [-1] * (12 - len(r)) for r in side]), np.array([len(r) for r in side])) for side in sides]
     want = [gleu.gleu_of(*[(len(r), gleu.grams(r)) for r in rows]) for rows in zip(*sides)]
     assert np.abs(gleu.gleu_of_batch(*padded) - want).max() < 1e-12
+
+
+def test_memo_counts_need_no_join(spark):
+    from quillspark.operators import memo
+
+    asked = spark.createDataFrame([(0, "a"), (0, "a"), (0, "b"), (1, "a"), (1, "c"), (1, "c"), (2, "d"), (2, "e")], "stage int, cache_key string")
+    out = memo.hits_and_misses(asked, "stage", queries.F.col("stage") == 0)
+    assert sorted(map(tuple, out.collect())) == [(0, 3, 0), (1, 1, 1), (2, 0, 2)]
+    assert "Join" not in queries.QUERIES["memo_hits_misses"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
